@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,9 +25,27 @@ def words(text: Column, min_length: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{WORD_CHAR}{{{max(1, min_length)},}}"), F.lit(0))
 
 
-def without(words_: Column, stop: Sequence[str]) -> Column:
-    """Drop stop words, keeping repeats of the others; the list becomes one hash set in the plan."""
-    return F.filter(words_, lambda w: ~w.isin(list(stop))) if stop else words_
+def sql_list(values: Iterable[str]) -> str:
+    """String literals for an IN list, which Spark evaluates as one hash set.
+
+    The list is parsed as text because building thousands of literal columns one by one is slow.
+    """
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+
+
+def without(words_: str, stop: Sequence[str]) -> Column:
+    """The array column `words_` without stop words; repeats of the other words stay."""
+    return F.expr(f"filter({words_}, w -> w NOT IN ({sql_list(stop)}))") if stop else F.col(words_)
+
+
+def endings_in(pieces: str, known: Sequence[str], at_end: bool) -> Column:
+    """Per string of the array column `pieces`, those of its endings (or beginnings) that are `known`."""
+    lengths = ", ".join(str(n) for n in sorted({len(k) for k in known}))
+    cut = "substr(p, length(p) - n + 1)" if at_end else "substr(p, 1, n)"
+    return F.expr(
+        f"transform({pieces}, p -> filter(transform(filter(array({lengths}), n -> n <= length(p)),"
+        f" n -> {cut}), s -> s IN ({sql_list(known)})))"
+    )
 
 
 def run_starts(sorted_words: Column) -> Column:

@@ -24,28 +24,14 @@ def _row_key(articles: DataFrame) -> list[str]:
     return ["batch", "id"] if "batch" in articles.columns else ["id"]
 
 
-def _known_endings(pieces, lengths: list[int], known: list[str], cut):
-    """Per piece, the `cut`-side substrings of the given lengths that are in `known`."""
-    return F.transform(
-        pieces,
-        lambda p: F.filter(
-            F.transform(F.filter(F.lit(lengths), lambda n: n <= F.length(p)), lambda n: cut(p, n)),
-            lambda s: s.isin(known),
-        ),
-    )
-
-
 def _match_inline(texts: DataFrame, key: list[str], ngrams: list[str]) -> DataFrame:
     """Row by row: an n-gram `a b` occurs where one space-separated piece ends with `a` and the next
     starts with `b`. The known endings of each piece are found by hash look-up, so the cost grows with
     the text and not with the number of candidates, and no text is shuffled."""
+    if not ngrams:
+        return texts.select(*key, F.lit("").alias("ngram")).filter(F.lit(False))
     lefts = sorted({g.split(" ")[0] for g in ngrams})
     rights = sorted({g.split(" ")[1] for g in ngrams})
-    left_lengths = sorted({len(x) for x in lefts})
-    right_lengths = sorted({len(x) for x in rights})
-    pieces = F.col("pieces")
-    ends = _known_endings(pieces, left_lengths, lefts, lambda p, n: F.substr(p, F.length(p) - n + 1))
-    starts = _known_endings(pieces, right_lengths, rights, lambda p, n: F.substr(p, F.lit(1), n))
     none = F.array().cast("array<string>")
     # zip_with takes both arrays as arguments, so each is computed once per article
     found = F.flatten(
@@ -60,8 +46,13 @@ def _match_inline(texts: DataFrame, key: list[str], ngrams: list[str]) -> DataFr
     )
     return (
         texts.select(*key, F.split("text", " ").alias("pieces"))
-        .select(*key, ends.alias("ends"), starts.alias("starts"))
-        .select(*key, F.array_distinct(F.filter(found, lambda g: g.isin(ngrams))).alias("found"))
+        .select(
+            *key,
+            X.endings_in("pieces", lefts, at_end=True).alias("ends"),
+            X.endings_in("pieces", rights, at_end=False).alias("starts"),
+        )
+        .select(*key, found.alias("found"))
+        .select(*key, F.array_distinct(F.expr(f"filter(found, g -> g IN ({X.sql_list(ngrams)}))")).alias("found"))
         .select(*key, F.explode_outer("found").alias("ngram"))
         .filter("ngram is not null")
     )

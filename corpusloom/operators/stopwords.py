@@ -46,27 +46,24 @@ year
 """.split()
 
 
-def stop_words(spark: SparkSession, general: DataFrame | Iterable[str] | None = None) -> DataFrame:
-    """Distinct stop words as (word).
+def stop_list(general: Iterable[str] | None = None) -> list[str]:
+    """The distinct stop words in order, as Python strings.
 
-    `general` is the list of function words to use, as words or as a table with a `word` column;
-    by default the English list that Spark ships.
+    `general` names the function words to use; by default the English list that Spark ships.
     """
-    if general is None:
-        general = StopWordsRemover.loadDefaultStopWords("english")
-    if not isinstance(general, DataFrame):
-        general = spark.createDataFrame([(w,) for w in general], "word string")
-
-    def numbers(first, last, width):
-        return spark.range(first, last + 1).select(F.format_string(f"%0{width}d", "id").alias("word"))
-
-    letters = spark.createDataFrame([(c,) for c in string.ascii_lowercase], "word string")
-    frequent = spark.createDataFrame([(w,) for w in FREQUENT_WORDS], "word string")
-    parts = [numbers(0, 100, 2), numbers(0, 9, 1), letters, numbers(2000, 2029, 4), frequent]
-    union = general.select("word")
-    for part in parts:
-        union = union.unionByName(part)
-    return union.distinct()
+    words = set(StopWordsRemover.loadDefaultStopWords("english") if general is None else general)
+    words.update(str(n).zfill(2) for n in range(101))
+    words.update(string.digits, string.ascii_lowercase)
+    words.update(str(year) for year in range(2000, 2030))
+    words.update(FREQUENT_WORDS)
+    return sorted(words)
+
+
+def stop_words(spark: SparkSession, general: DataFrame | Iterable[str] | None = None) -> DataFrame:
+    """The same list as a table (word); `general` may be a table with a `word` column, too."""
+    if isinstance(general, DataFrame):
+        return general.select("word").unionByName(stop_words(spark, ())).distinct()
+    return spark.createDataFrame([(w,) for w in stop_list(general)], "word string")
 
 
 def lemmatized_stop_words(stop: DataFrame, lemmas: DataFrame) -> DataFrame:

@@ -84,8 +84,8 @@ def term_frequency(counts: DataFrame) -> DataFrame:
 def kept_words(articles: DataFrame, ngrams, stop, opts: Options, keep: Sequence[str] = ()) -> DataFrame:
     """(id, words): the sorted kept tokens of each article, one row per article."""
     text = X.collapse(F.lower(X.source_text(opts.text_source)), ngram_list(ngrams))
-    kept = X.without(X.words(text, opts.min_length), word_list(stop))
-    return articles.select(cast_id(opts), *keep, F.sort_array(kept).alias("words"))
+    words = articles.select(cast_id(opts), *keep, X.words(text, opts.min_length).alias("words"))
+    return words.withColumn("words", F.sort_array(X.without("words", word_list(stop))))
 
 
 def cast_id(opts: Options, name: str = "id"):

@@ -107,7 +107,7 @@ class Inputs:
 
     @cached_property
     def stop_list(self) -> list[str]:
-        return stopwords.word_list(self.stop)
+        return stopwords.stop_list()
 
     def fresh_stats(self, opts: Options = Options(), keep=()) -> DataFrame:
         return tokens.article_stats(self.articles, (), self.stop_list, opts, keep)
@@ -898,7 +898,7 @@ def v05_project(i: Inputs):
 
 @query
 def v06_knn(i: Inputs):
-    return rounded(neighbours.knn_graph(i.embeddings, 5))
+    return neighbours.knn_graph(i.embeddings, 5)
 
 
 @query
@@ -1047,13 +1047,13 @@ def f04_batch_inference(i: Inputs):
 @query
 def e01_jaccard_neighbours(i: Inputs):
     emb = vocabulary.dense_counts(i.articles, i.counts, "ensemble", i.opts.embedding_dim)
-    return rounded(neighbours.knn_graph(projection.drop_constant_vectors(emb), 5, "jaccard"))
+    return neighbours.knn_graph(projection.drop_constant_vectors(emb), 5, "jaccard")
 
 
 @query
 def e02_cosine_neighbours(i: Inputs):
     emb = vocabulary.dense_counts(i.articles, i.counts, "ensemble", i.opts.embedding_dim)
-    return rounded(neighbours.knn_graph(projection.drop_constant_vectors(emb), 5))
+    return neighbours.knn_graph(projection.drop_constant_vectors(emb), 5)
 
 
 @query

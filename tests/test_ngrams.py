@@ -1,0 +1,136 @@
+"""Collapsing, matching and rewriting n-grams, against plain Python."""
+
+import re
+from itertools import product
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import DATA
+from corpusloom.functions import text as X
+from corpusloom.operators import cooccurrence, ngrams, tokens
+from corpusloom.sources.articles import read_documents
+
+
+def texts_of(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+
+
+def test_collapse_order_and_substrings(spark):
+    df = texts_of(spark, "xgene map set", "gene map")
+    first = [r.text for r in tokens.collapse_ngrams(df, ["gene map set", "gene map", "map set"]).orderBy("id").collect()]
+    assert first == ["xgene_map_set", "gene_map"]
+    second = [r.text for r in tokens.collapse_ngrams(df, ["map set", "gene map", "", "map"]).orderBy("id").collect()]
+    assert second == ["xgene map_set", "gene_map"] or second == ["xgene_map_set", "gene_map"]
+    expected = "xgene map set"
+    for g in ["map set", "gene map"]:
+        expected = expected.replace(g, g.replace(" ", "_"))
+    assert second[0] == expected
+
+
+def test_long_and_short_lists_collapse_alike(spark):
+    df = read_documents(spark, DATA)
+    texts = tokens.article_text(df).select("id", "text")
+    some = ["of the", "der die", "eriner thanea", "the of"]
+    padding = [f"zz{i} yy{i}" for i in range(X.UNROLL_LIMIT)]
+    short = tokens.collapse_ngrams(texts, some)
+    long = tokens.collapse_ngrams(texts, some + padding)
+    assert short.exceptAll(long).isEmpty()
+
+
+@pytest.mark.parametrize("strategy", ["inline", "equi", "loop"])
+def test_match_strategies_equal_brute_force(spark, strategy):
+    rows = [
+        "alpha beta gamma", "xalpha betax", "alpha  beta", "alpha\nbeta", "alpha beta alpha beta",
+        "", " alpha beta", "beta alpha", "phalpha betamax", "a'alpha beta's",
+    ]
+    grams = ["alpha beta", "beta alpha", "pha be", "lpha beta", "gamma alpha", "a b"]
+    want = sorted((i, g) for (i, t), g in product(enumerate(rows), grams) if g in t)
+    candidates = spark.createDataFrame([(g,) for g in grams], "ngram string")
+    found = ngrams.match_ngrams(texts_of(spark, *rows), candidates, strategy)
+    assert sorted((r.id, r.ngram) for r in found.collect()) == want
+
+
+def test_three_part_candidates_fall_back(spark):
+    candidates = spark.createDataFrame([("a b c",), ("b c",)], "ngram string")
+    found = ngrams.match_ngrams(texts_of(spark, "a b c", "xb cx"), candidates)
+    assert sorted((r.id, r.ngram) for r in found.collect()) == [(0, "a b c"), (0, "b c"), (1, "b c")]
+
+
+def test_document_frequency_keeps_zeros(spark):
+    candidates = spark.createDataFrame([("a b",), ("x y",)], "ngram string")
+    found = ngrams.ngram_document_frequency(texts_of(spark, "a b a b", "a b"), candidates)
+    assert {r.ngram: r.freq for r in found.collect()} == {"a b": 2, "x y": 0}
+    none = candidates.filter("ngram = ''")
+    assert ngrams.ngram_document_frequency(texts_of(spark, "a b"), none).count() == 0
+
+
+def test_combine(spark):
+    a = spark.createDataFrame([("a b", 3), ("c d", 1)], "ngram string, freq bigint")
+    b = spark.createDataFrame([("a b", 2), ("c d", 1)], "ngram string, freq bigint")
+    known = spark.createDataFrame([(0, "x y z"), (1, "a b")], "pos int, ngram string")
+    counts, listed = ngrams.combine_ngrams([a, b], known, 3)
+    assert {r.ngram: r.freq for r in counts.collect()} == {"a b": 5, "c d": 2}
+    assert [r.ngram for r in listed.collect()] == ["x y z", "a b"]
+
+
+def test_rewrite_keeps_case_and_left_boundary(spark):
+    rows = [(1, "Gene  Map of geneMap, xgene map", "GENE\nmapping"), (2, "none", None)]
+    df = spark.createDataFrame(rows, "id bigint, title string, abstract string")
+    counts = spark.createDataFrame([("gene map", 5), ("map of", 3), ("rare one", 1)], "ngram string, freq bigint")
+    found = ngrams.replace_ngrams(df, counts, 2).orderBy("id").collect()
+    want = rows[0][1]
+    for g in ("gene map", "map of"):
+        left, right = g.split()
+        want = re.sub(rf"\b({left})\s+({right})", r"\1_\2", want, flags=re.I)
+    assert found[0].title == want
+    assert found[0].abstract == "GENE_mapping" and found[1].abstract is None
+
+
+def pairs_by_hand(baskets):
+    counts = {}
+    for basket in baskets:
+        for a, b in product(basket, basket):
+            if a < b:
+                counts[a, b] = counts.get((a, b), 0) + 1
+    return counts
+
+
+def test_pair_counts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "BLOCK_TOKENS", 7)
+    monkeypatch.setattr(cooccurrence, "BLOCK_ARTICLES", 5)
+    monkeypatch.setattr(cooccurrence, "BLOCK_CELLS", 40)
+    baskets = [{f"t{(i * j) % 23}é" for j in range(i % 9 + 1)} for i in range(60)]
+    rows = [(i, t) for i, basket in enumerate(baskets) for t in basket]
+    presence = spark.createDataFrame(rows, "id bigint, token string")
+    found = {(r.token1, r.token2): r.k for r in cooccurrence.token_pairs(presence).collect()}
+    assert found == pairs_by_hand(baskets)
+
+
+def test_correlations(spark):
+    rows = [(i, t) for i, ts in enumerate(["abz", "abz", "cz", "z"]) for t in ts]
+    presence = spark.createDataFrame(rows, "id bigint, token string")
+    cor = {(r.token1, r.token2): r.cor for r in cooccurrence.token_correlations(presence, all_pairs=True).collect()}
+    assert cor["a", "b"] == pytest.approx(1.0) and cor["a", "z"] is None
+    assert cor["a", "c"] == pytest.approx(-1 / 3**0.5)
+    kept = cooccurrence.correlated_token_pairs(cooccurrence.token_correlations(presence), 0.15).collect()
+    assert [(r.token1, r.token2) for r in kept] == [("a", "b")]
+    wide = spark.createDataFrame([("a", 1.0, 0.5), ("b", 0.5, 1.0)], "token string, a double, b double")
+    assert [tuple(r) for r in cooccurrence.upper_triangle(wide).collect()] == [("a", "b", 0.5)]
+
+
+def test_wide_presence(spark):
+    stats = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (3, "x")], "id bigint, token string")
+    targets = spark.createDataFrame([("a",), ("b",)], "token string")
+    wide = cooccurrence.presence(stats, targets, wide=True).orderBy("id").collect()
+    assert [(r.id, r.a, r.b) for r in wide] == [(1, True, True), (2, False, True)]
+
+
+def test_part_count_and_padding(spark):
+    row = spark.range(1).select(
+        X.part_count(F.lit("a b c")).alias("p"),
+        *(X.cluster_label(F.lit(7), k).alias(f"k{k}") for k in (9, 10, 99, 100)),
+        X.zero_pad(F.lit(12345), 4).alias("z"),
+    ).first()
+    assert row.p == 2 and row.z == "12345"
+    assert [row.k9, row.k10, row.k99, row.k100] == ["cluster_7", "cluster_07", "cluster_07", "cluster_007"]
