@@ -59,20 +59,34 @@ def _match_inline(texts: DataFrame, key: list[str], ngrams: list[str]) -> DataFr
 
 
 def _match_joined(texts: DataFrame, key: list[str], candidates: DataFrame) -> DataFrame:
-    """The same rule as equi-joins, for candidate sets of any size.
+    """The same rule as equi-joins, for any number of parts and candidates.
 
-    The distinct neighbouring pieces of the whole corpus are matched once, and the result is joined
-    back to the articles' pieces; frequent pieces are left to the adaptive skew join.
+    Neighbouring pieces are expanded to the endings and beginnings whose lengths occur among the
+    parts, in one pass over the text; the left ones must survive a semi-join before the right ones
+    are expanded.
     """
     parts = candidates.select(
-        "ngram", F.split_part("ngram", F.lit(" "), F.lit(1)).alias("a"), F.split_part("ngram", F.lit(" "), F.lit(2)).alias("b")
+        "ngram",
+        F.split_part("ngram", F.lit(" "), F.lit(1)).alias("a"),
+        F.split_part("ngram", F.lit(" "), F.lit(2)).alias("b"),
     )
+    # as many values as there are different token lengths
+    lengths = parts.agg(F.collect_set(F.length("a")).alias("a"), F.collect_set(F.length("b")).alias("b")).first()
+
+    def cuts(piece: str, wanted: list[int], at_end: bool):
+        known = F.filter(F.array(*(F.lit(n) for n in sorted(wanted))), lambda n: n <= F.length(piece))
+        return F.transform(known, lambda n: F.substr(piece, F.length(piece) - n + 1 if at_end else F.lit(1), n))
+
+    if not lengths.a:
+        return texts.select(*key, F.lit("").alias("ngram")).filter(F.lit(False))
     pieces = F.col("pieces")
+    last = F.greatest(F.size(pieces) - 1, F.lit(0))
+    # as strings, which unlike structs are told apart by hash; pieces have no spaces inside
     neighbours = F.array_distinct(
         F.zip_with(
-            F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))),
-            F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))),
-            lambda left, right: F.struct(left.alias("l"), right.alias("r")),
+            F.slice(pieces, F.lit(1), last),
+            F.slice(pieces, F.lit(2), last),
+            lambda left, right: F.concat(left, F.lit(" "), right),
         )
     )
     pairs = (
@@ -80,24 +94,12 @@ def _match_joined(texts: DataFrame, key: list[str], candidates: DataFrame) -> Da
         .select(*key, neighbours.alias("pairs"))
         .select(*key, F.explode_outer("pairs").alias("pair"))
         .filter("pair is not null")
-        .select(*key, "pair.l", "pair.r")
-    )
-    vocabulary = pairs.select("l", "r").distinct()
-    lengths = F.sequence(F.lit(1), F.length("piece"))
-
-    def expanded(side: str, part: str, cut) -> DataFrame:
-        piece = vocabulary.select(F.col(side).alias("piece")).distinct().filter("piece <> ''")
-        return (
-            piece.select(F.col("piece").alias(side), F.explode(F.transform(lengths, lambda n: cut(F.col("piece"), n))).alias(part))
-            .join(parts.select(part).distinct(), part, "left_semi")
-        )
-
-    ends = expanded("l", "a", lambda p, n: F.substr(p, F.length(p) - n + 1))
-    starts = expanded("r", "b", lambda p, n: F.substr(p, F.lit(1), n))
-    matched = (
-        vocabulary.join(ends, "l").join(starts, "r").join(parts, ["a", "b"]).select("l", "r", "ngram").distinct()
+        .select(*key, F.substring_index("pair", " ", 1).alias("l"), F.substring_index("pair", " ", -1).alias("r"))
     )
-    return pairs.join(matched, ["l", "r"]).select(*key, "ngram").distinct()
+    left = pairs.select(*key, "r", F.explode_outer(cuts("l", lengths.a, True)).alias("a")).filter("a is not null")
+    left = left.join(parts.select("a").distinct(), "a", "left_semi")
+    both = left.select(*key, "a", F.explode_outer(cuts("r", lengths.b, False)).alias("b")).filter("b is not null")
+    return both.join(parts, ["a", "b"]).select(*key, "ngram").distinct()
 
 
 def match_ngrams(texts: DataFrame, candidates: DataFrame, strategy: str = "auto") -> DataFrame:

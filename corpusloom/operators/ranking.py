@@ -86,19 +86,20 @@ def sample_articles(df: DataFrame, k: int, seed: int, key: str = "id") -> DataFr
         .agg(F.count("*").alias("rows"))
         .select("bucket", "rows", F.sum("rows").over(up_to).alias("running"))
     )
-    cut = (
-        running.filter(F.col("running") >= k)
-        .agg(F.min(F.struct("bucket", (F.lit(k) - F.col("running") + F.col("rows")).alias("take"))).alias("cut"))
-    ).scalar()
+    cut = running.filter(F.col("running") >= k).orderBy("bucket").limit(1).first()
+    if cut is None:
+        return df
+    take = k - cut.running + cut.rows
+    place = F.row_number().over(W.orderBy("at"))
     last = (
-        ids.withColumn("cut", cut)
-        .filter(F.col("bucket") == F.col("cut.bucket"))
-        .withColumn("place", F.row_number().over(W.orderBy("at")))
-        .filter(F.col("place") == F.col("cut.take"))
-        .agg(F.max("at").alias("at"))
-    ).scalar()
-    here = F.struct(digest.alias("h"), F.col(key))
-    return df.filter(last.isNull() | (here <= last))
+        ids.filter(F.col("bucket") == cut.bucket)
+        .withColumn("place", place)
+        .filter(F.col("place") == take)
+        .select("at.h", F.col(f"at.{key}").alias("id"))
+        .first()
+    )
+    earlier = (bucket < cut.bucket) | (digest < last.h) | ((digest == last.h) & (F.col(key) <= last.id))
+    return df.filter(earlier)
 
 
 def exact_quantiles(df: DataFrame, at: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.palette import MAX_CLUSTERS, colours, rgb
 from corpusloom.operators.ranking import exact_quantiles, sample_articles
 from corpusloom.options import Options
+from corpusloom.staging import staged
 
 
 def with_cluster(points: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -96,6 +97,7 @@ def shade(raster: DataFrame, palette_: DataFrame) -> DataFrame:
 def visualize_embeddings(projection: DataFrame, clusters: DataFrame, opts: Options = Options()) -> DataFrame:
     """The picture of a projection as a pixel table."""
     sample = sample_articles(projection, opts.raster_max_articles, opts.random_seed, key="article_id")
-    points = with_cluster(sample, clusters)
+    # read by the quantiles and by the raster; at most `raster_max_articles` rows
+    points = staged(with_cluster(sample, clusters), "points")
     raster = bin_points(points, opts.raster_width, opts.raster_height, clip_bounds(points, opts.clip_quantile))
     return shade(raster, palette(clusters))

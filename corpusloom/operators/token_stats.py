@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scores as S
+from corpusloom.staging import staged
 
 
 def num_articles(article_stats: DataFrame) -> DataFrame:
@@ -42,13 +43,13 @@ def minmax(df: DataFrame, column: str) -> DataFrame:
 def token_stats(article_stats: DataFrame) -> DataFrame:
     """(token, n, tf, num_articles, idf, mean_tfidf, ridf, adj_ridf), not ordered.
 
-    The corpus size and the two normalising constants are scalar subqueries over the token table;
-    they reuse its one exchange.
+    The totals are written once, so the article table is read once for them and once, ids only, for
+    the corpus size. The normalising constants are scalar subqueries over the much smaller totals.
     """
     n = F.col("n_articles")
     df = F.col("num_articles")
     scored = (
-        token_totals(article_stats)
+        staged(token_totals(article_stats), "token-totals")
         .withColumn("n_articles", num_articles(article_stats).scalar())
         .withColumn("idf", S.idf(df, n))
         .withColumn("mean_tfidf", S.tfidf(F.col("tf"), F.col("idf")) / n)

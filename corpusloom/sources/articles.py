@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.text import zero_pad
 from corpusloom.staging import spread
 
 
@@ -46,12 +47,12 @@ def read_corpus(spark: SparkSession, path: str, processing: str = "raw", id_type
 
 def articles_of(documents: DataFrame) -> DataFrame:
     """Articles from `(doc_id, text)`: first line is the title, the rest the abstract."""
-    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    title = F.substring_index("text", "\n", 1)
     return documents.select(
         F.col("doc_id").alias("id"),
         title.alias("title"),
         F.substr("text", F.length(title) + 2).alias("abstract"),
-        F.lpad(F.floor(F.col("doc_id") / 100 + 1).cast("string"), 4, "0").alias("batch"),
+        zero_pad(F.floor(F.col("doc_id") / 100 + 1), 4).alias("batch"),
     )
 
 
