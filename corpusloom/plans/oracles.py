@@ -233,7 +233,7 @@ def oracle(name: str, names: str, body: str, extra: str = "") -> None:
     ORACLES[name] = with_parts(names, body, extra)
 
 
-A_CHARS = "length(abstract) AS abstract_chars"
+A_CHARS = "CAST(length(abstract) AS INTEGER) AS abstract_chars"
 oracle("s01_batch_scan", "articles", f"SELECT id, title, {A_CHARS}, batch FROM articles WHERE batch BETWEEN '0003' AND '0007'")
 oracle("s02_corpus_scan", "articles", f"SELECT id, title, {A_CHARS} FROM articles")
 oracle("s03_processing_choice", "articles", "SELECT id, lower(title) AS title FROM articles")
@@ -256,7 +256,7 @@ oracle("p01_article_text", "articles", """SELECT id, title, md5(abstract) AS abs
     md5(title || ' ' || abstract) AS "both" FROM articles""")
 oracle("p02_lowercase", "texts", "SELECT id, md5(text) AS text FROM texts")
 oracle("p03_null_to_empty", "gaps", """SELECT id, coalesce(title, '') AS title,
-    length(coalesce(abstract, '')) AS abstract_chars FROM gaps""")
+    CAST(length(coalesce(abstract, '')) AS INTEGER) AS abstract_chars FROM gaps""")
 oracle("p04_exclude_articles", "gaps", """SELECT a.flag AS abstract, t.flag AS title, id FROM gaps,
     (VALUES (true), (false)) a(flag), (VALUES (true), (false)) t(flag)
     WHERE (NOT a.flag OR gaps.abstract IS NOT NULL) AND (NOT t.flag OR gaps.title IS NOT NULL)""")
@@ -287,7 +287,7 @@ oracle("p20_dictionary", "totals", "SELECT token, dense_rank() OVER (ORDER BY to
 oracle("p21_replace_ngrams", "articles", f"""SELECT id, md5(a) AS abstract,
     CAST(length(a) - length(replace(a, '_', '')) AS INTEGER) AS marks
     FROM (SELECT id, {joined('abstract', TWO_PARTS)} AS a FROM articles)""")
-oracle("p22_sentences", "articles", """SELECT id, sent, length(sentence) AS chars, md5(sentence) AS sentence FROM (
+oracle("p22_sentences", "articles", """SELECT id, sent, CAST(length(sentence) AS INTEGER) AS chars, md5(sentence) AS sentence FROM (
     SELECT id, unnest(s) AS sentence, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sent FROM (
     SELECT id, string_split(regexp_replace(replace(title || ' ' || abstract, chr(10), ' '), '([.!?])\\s+',
     '\\1' || chr(1), 'g'), chr(1)) AS s FROM articles))""")
@@ -357,7 +357,7 @@ oracle("w05_equalize", "raster", """SELECT px, py, total, round(cume_dist() OVER
 oracle("t01_sort_tokens", "totals", "SELECT token, n, num_articles FROM totals ORDER BY n DESC, token")
 for name, rank in (("t02_top_frequency", "n_rank"), ("t03_top_tfidf", "tfidf_rank"), ("t04_top_ridf", "ridf_rank")):
     oracle(name, "ranks", f"SELECT CAST({rank} AS INTEGER) AS rank, token FROM ranks WHERE {rank} <= 64")
-oracle("t05_top_ensemble", "vocab", "SELECT rank, token FROM vocab WHERE embedding = 'ensemble'")
+oracle("t05_top_ensemble", "vocab", "SELECT CAST(rank AS INTEGER) AS rank, token FROM vocab WHERE embedding = 'ensemble'")
 SIZE = "CAST(length(ngram) - length(replace(ngram, ' ', '')) AS INTEGER) AS size"
 oracle("t06_order_ngrams", "candidates known", f"""SELECT ngram, {SIZE} FROM
     (SELECT ngram FROM candidates UNION SELECT ngram FROM known)""")

@@ -7,6 +7,7 @@ from conftest import DATA
 from __spark_entry__ import entry, oracle_sql, queries
 
 TABLES = "documents embeddings labels benchmark pages conversations events".split()
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 # one query per family here; the whole catalogue is compared at the next scale outside pytest
 CHECKED = """s01_batch_scan s06_ngram_list p06_collapse_ngrams p10_stop_list p21_replace_ngrams p22_sentences
 j04_match_ngrams a05_token_totals a10_pair_correlation a15_pool_sentences a18_bin_points w03_min_rank t05_top_ensemble
@@ -27,6 +28,8 @@ def test_query_equals_sql(spark, name):
     columns = sorted(df.columns)
     want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({oracle_sql()[name]})").fetchall()
     assert plain(df.select(*columns).collect()) == plain(want)
+    types = {row[0]: row[1] for row in con.execute(f"DESCRIBE {oracle_sql()[name]}").fetchall()}
+    assert {c: TYPES[t] for c, t in df.dtypes} == types
 
 
 def test_every_sql_twin_has_a_query():
