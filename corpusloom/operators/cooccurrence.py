@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.scores import phi
 from corpusloom.operators.ranking import sample_articles
 from corpusloom.options import Options
+from corpusloom.staging import staged
 
 PAIR_SCHEMA = "token1 string, token2 string, k bigint"
 BLOCK_ARTICLES = 4096
@@ -44,8 +45,12 @@ def presence(article_stats: DataFrame, targets: DataFrame, wide: bool = False) -
 
 
 def token_cooccurrence(article_stats: DataFrame, token_stats: DataFrame, opts: Options = Options()) -> DataFrame:
-    """Presence of frequent tokens in a seeded sample of the articles that have any."""
-    long = presence(article_stats, target_tokens(token_stats, opts.token_min_freq))
+    """Presence of frequent tokens in a seeded sample of the articles that have any.
+
+    The targets are written first: their true size decides whether the big table has to move.
+    """
+    targets = staged(target_tokens(token_stats, opts.token_min_freq), "targets")
+    long = presence(article_stats, targets)
     return sample_articles(long, opts.subsample_num_articles, opts.random_seed)
 
 
@@ -110,9 +115,10 @@ def token_pairs(presence_: DataFrame) -> DataFrame:
 def token_correlations(presence_: DataFrame, all_pairs: bool = False) -> DataFrame:
     """(token1, token2, cor) for token1 < token2, null when a token is in every article.
 
-    Pairs that never meet have a correlation of at most 0; `all_pairs` lists them as well.
+    Pairs that never meet have a correlation of at most 0; `all_pairs` lists them as well. The counts
+    per token are written first, so that Spark knows how small they are next to the pairs.
     """
-    counts = presence_.groupBy("token").agg(F.count("*").alias("c"))
+    counts = staged(presence_.groupBy("token").agg(F.count("*").alias("c")), "token-counts")
     pairs = token_pairs(presence_)
     if all_pairs:
         # the target list is bounded, and its upper triangle is the size of the result

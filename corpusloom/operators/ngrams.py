@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators.tokens import article_text
 from corpusloom.options import Options
+from corpusloom.staging import staged
 
 INLINE_CANDIDATES = 20_000
 
@@ -133,7 +134,8 @@ def detect_ngrams(
     articles: DataFrame, pairs: DataFrame, opts: Options = Options(), strategy: str = "auto"
 ) -> DataFrame:
     """Document frequency of every candidate that the correlated pairs suggest."""
-    return ngram_document_frequency(article_text(articles, opts.text_source), ngram_candidates(pairs), strategy)
+    candidates = staged(ngram_candidates(pairs), "candidates")
+    return ngram_document_frequency(article_text(articles, opts.text_source), candidates, strategy)
 
 
 def sum_ngrams(counts: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.vectors import dense
 from corpusloom.operators.ranking import top_tokens
 from corpusloom.options import Options
+from corpusloom.staging import staged
 
 KINDS = ("frequency", "tfidf", "ridf", "ensemble")
 
@@ -114,5 +115,5 @@ def stat_embeddings(
     """The four count embeddings in coordinate form, and the table of their tokens."""
     n = corpus_size(articles).scalar()
     selected = filter_vocab(token_stats, n, opts.min_article_ratio, opts.max_article_ratio)
-    vocab = vocabulary(selected, opts)
+    vocab = staged(vocabulary(selected, opts), "vocabulary")
     return vocab_counts(article_stats, vocab), zip_ranked(vocab, opts.embedding_dim)

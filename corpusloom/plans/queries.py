@@ -130,7 +130,8 @@ class Inputs:
 
     @cached_property
     def targets(self) -> DataFrame:
-        return cooccurrence.target_tokens(stats.token_totals(self.article_stats), self.opts.token_min_freq)
+        found = cooccurrence.target_tokens(stats.token_totals(self.article_stats), self.opts.token_min_freq)
+        return staged(found, "targets")
 
     @cached_property
     def presence(self) -> DataFrame:
