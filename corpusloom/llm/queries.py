@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import quality_rules, url_rules
+from corpusloom.llm import passages, quality_rules, toxicity, url_rules
 from corpusloom.llm.common import read_table
 
 QUERIES = {}
@@ -21,11 +21,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.fit_rules(docs, read_table(spark, sf_dir, "labels")))
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
+
+
 @query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), url_rules.RULES)
 
 
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return passages.score_quality(docs, passages.fit_classifier(docs, read_table(spark, sf_dir, "labels")))
+
+
 _HOST = (
     r"translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), "
     "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

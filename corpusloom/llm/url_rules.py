@@ -32,7 +32,7 @@ RULES = (
 )
 LOW = "\x01"
 #: rows read for the range bounds; they only decide how evenly the ranges are filled
-BOUND_ROWS = 20_000
+BOUND_ROWS = 4_000
 
 
 def host_and_path(url: str = "url"):
