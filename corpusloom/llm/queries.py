@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import passages, quality_rules, toxicity, url_rules
+from corpusloom.llm import packing, passages, quality_rules, simhash, toxicity, url_rules
 from corpusloom.llm.common import read_table
 
 QUERIES = {}
@@ -27,6 +27,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
+@query
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.with_digest(packing.pack(read_table(spark, sf_dir, "documents")))
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 @query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), url_rules.RULES)
