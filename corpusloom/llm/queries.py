@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import packing, passages, quality_rules, simhash, toxicity, url_rules
+from corpusloom.llm import decontaminate, line_dedup, packing, passages, quality_rules, simhash, toxicity, url_rules
 from corpusloom.llm.common import read_table
 
 QUERIES = {}
@@ -27,6 +28,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_digest(packing.pack(read_table(spark, sf_dir, "documents")))
@@ -43,6 +49,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), url_rules.RULES)
 
 
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    return out.select(
+        "doc_id",
+        F.coalesce(F.size("lines_gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce("lines_gone", F.array().cast("array<int>")).alias("removed_lines"),
+        n_lines.alias("n_lines_left"),
+        F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
