@@ -20,8 +20,10 @@ packed each on its own. Extra columns are ignored. An empty table gives no piece
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,10 @@ from corpusloom.staging import stage_path
 
 WINDOW = 4096
 END_ID = 2
+#: rows (source, task) up to which their table of a few bytes each is broadcast, after they are counted
+BROADCAST_ROWS = 200_000
 #: words whose ids a worker remembers
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
 def tokenizer_path() -> str:
@@ -55,25 +59,32 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.kind is np.uint16 else "I"
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[bytes], end: int) -> list[bytes]:
         if len(self.known) > REMEMBERED:  # words that are seen again move over, the others go at the next turn
             self.known, self.older = {}, self.known
-        tail = self.kind(end).tobytes()
-        out = []
-        for text in texts:
-            words = text.split()
-            new = [w for w in set(words) if w not in self.known]
-            if new and self.older:
-                self.known.update((w, self.older[w]) for w in new if w in self.older)
-                new = [w for w in new if w not in self.known]
-            if new:
-                found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-                self.known.update(zip(new, (np.array(e.ids, dtype=self.kind).tobytes() for e in found), strict=True))
-            out.append(b"".join(map(self.known.__getitem__, words)) + tail)
-        return out
+        known, split = self.known, [t.split() for t in texts]
+        found = [list(map(known.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        if self.older:
+            known.update((w, self.older[w]) for w in new if w in self.older)
+        missing = [w for w in new if w not in known]
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
+        known.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(missing, encoded, strict=True))
+        tail = array(self.code, [end]).tobytes()
+        return [
+            b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)]) + tail
+            for words, ids in zip(split, found, strict=True)
+        ]
+
+
+@cache
+def _encoder(path: str) -> WordIds:
+    """One for all tasks of a Python worker, so that words learned in one serve the next."""
+    return WordIds(path)
 
 
 @dataclass(frozen=True)
@@ -161,7 +172,7 @@ class Schedule:
 
 def _tokenize(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path)
+        encode = _encoder(path)
         passed: dict[str, int] = {}
         for batch in batches:
             ids = encode(batch.column("text").to_pylist(), end)
@@ -242,6 +253,8 @@ def pack(docs: DataFrame, targets: Mapping[str, float] | None = None, path: str
     schedule = Schedule.of([t for _, t in totals], weights)
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("queue", "part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    if sums.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
     placed = tokens.join(bases, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("first"), "n", "ids")
     wide = WordIds(path).kind is np.uint32
     pieces = f"doc_id {kind}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
