@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.staging import staged
 
-__all__ = ["batches_of", "bytes_of", "held_out", "keyed_groups", "read_table", "staged", "training_rows"]
+__all__ = ["batches_of", "bytes_of", "held_out", "keyed_groups", "read_table", "staged", "training_rows", "whole_groups"]
 
 #: rows of one Arrow batch; a batch of long texts stays small
 BATCH_ROWS = 1000
@@ -76,4 +76,31 @@ def keyed_groups(batches: Iterator[pa.RecordBatch], keys: int, limit: int | None
         yield rest
 
 
-Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 50_000) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Many groups at once, never a part of one: where the key changes from the row before, and the columns after the keys.
+
+    About `rows` rows at a time, from batches of integers that are sorted by the key.
+    """
+    parts: list[list[np.ndarray]] = []
+    size = 0
+
+    def cut(last: bool):
+        nonlocal parts, size
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        change = np.zeros(size, dtype=bool)
+        for c in columns[:keys]:
+            change[1:] |= c[1:] != c[:-1]
+        end = size if last else int(np.flatnonzero(change)[-1]) if change.any() else 0
+        parts, size = [[c[end:] for c in columns]], size - end
+        return change[:end], [c[:end] for c in columns[keys:]]
+
+    for batch in batches:
+        if batch.num_rows:
+            parts.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+        if size >= rows:
+            change, columns = cut(False)
+            if len(change):
+                yield change, columns
+    if size:
+        yield cut(True)

@@ -64,7 +64,7 @@ def bucket_of(term: str) -> int:
     return crc32(term.encode("utf-8", "surrogatepass")) & ((1 << HASH_BITS) - 1)
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, epochs=12, rate=0.6, l1=1e-3, l2=3e-2, weight_toxic=3.0, batch=128, least_docs=3, seed=7) -> Machine:
+def fit(rows: list[np.ndarray], label: np.ndarray, epochs=12, rate=0.5, l1=3e-3, l2=3e-2, weight_toxic=2.0, batch=128, least_docs=3, seed=7) -> Machine:
     """Proximal AdaGrad on the log loss: L1 on the weights, L2 on the factors; toxic rows, being few, weigh more."""
     label = np.asarray(label, dtype=float)
     count = np.bincount(np.concatenate(rows), minlength=1 << HASH_BITS) if len(rows) else np.zeros(1 << HASH_BITS)
@@ -79,8 +79,9 @@ def fit(rows: list[np.ndarray], label: np.ndarray, epochs=12, rate=0.6, l1=1e-3,
     rows = [p[p >= 0] for p in (place[r] for r in rows)]
     weight, factor = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
     seen_w, seen_v, seen_b = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2), 1e-2
-    # a small sample is passed over more often, for about as many steps
-    for _ in range(max(epochs, min(40, 200_000 // len(rows)))):
+    epochs = max(epochs, min(25, 200_000 // len(rows)))  # a small sample is passed over more often
+    mean_w, mean_v, mean_b, means = np.zeros(n), np.zeros((n, FACTORS)), 0.0, 0
+    for epoch in range(epochs):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             chosen = [k for k in order[lo : lo + batch] if len(rows[k])]
@@ -104,6 +105,9 @@ def fit(rows: list[np.ndarray], label: np.ndarray, epochs=12, rate=0.6, l1=1e-3,
             factor[used] -= 0.3 * rate / np.sqrt(seen_v[used]) * gv
             seen_b += g.sum() ** 2
             bias -= rate / np.sqrt(seen_b) * g.sum()
+        if epoch >= epochs // 3:  # the model is the mean over the later passes
+            mean_w, mean_v, mean_b, means = mean_w + weight, mean_v + factor, mean_b + bias, means + 1
+    weight, factor, bias = mean_w / means, mean_v / means, mean_b / means
     live = np.flatnonzero((np.abs(weight) > 0) | (np.abs(factor).max(axis=1) > 1e-3))
     return Machine(kept[live], weight[live], factor[live], float(bias))
 
