@@ -45,10 +45,10 @@ def presence(article_stats: DataFrame, targets: DataFrame, wide: bool = False) -
 
 
 def token_cooccurrence(article_stats: DataFrame, token_stats: DataFrame, opts: Options = Options()) -> DataFrame:
-    """Presence of frequent tokens in a seeded sample of the articles that have any.
+    """Presence of frequent tokens, in a seeded sample of the articles that have any if the options ask for one.
 
     The targets are written first: their true size decides whether the big table has to move. The
-    presence rows are written because sampling reads them three times.
+    presence rows are written because a sample reads them three times.
     """
     targets = staged(target_tokens(token_stats, opts.token_min_freq), "targets")
     long = staged(presence(article_stats, targets), "presence")

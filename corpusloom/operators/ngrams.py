@@ -25,6 +25,9 @@ def _row_key(articles: DataFrame) -> list[str]:
     return ["batch", "id"] if "batch" in articles.columns else ["id"]
 
 
+ROW = "_row"
+
+
 def _match_inline(texts: DataFrame, key: list[str], ngrams: list[str]) -> DataFrame:
     """Row by row: an n-gram `a b` occurs where one space-separated piece ends with `a` and the next
     starts with `b`. The known endings of each piece are found by hash look-up, so the cost grows with
@@ -104,28 +107,49 @@ def _match_joined(texts: DataFrame, key: list[str], candidates: DataFrame) -> Da
 
 
 def match_ngrams(texts: DataFrame, candidates: DataFrame, strategy: str = "auto") -> DataFrame:
-    """(id, ngram), with the batch where there is one: articles whose `text` contains the n-gram.
+    """(id, ngram), with the batch where there is one: one row for each row of `texts` whose `text` contains the n-gram.
 
-    `inline` looks parts up in hash sets in the plan, `equi` joins, `loop` tests every article against
-    every candidate; all give the same rows. The first two need two-part candidates. `auto` counts the
-    candidates and takes `inline` up to a fixed size, `equi` beyond it.
+    Rows with the same id stay rows of their own. `inline` looks parts up in hash sets in the plan, `equi`
+    joins, `loop` tests every article against every candidate; all give the same rows. `auto` counts the candidates
+    and takes `inline` up to a fixed size, `equi` beyond it. Candidates of more than two parts are found by their
+    first two and then tested whole; only those of one part, which no neighbours can be looked up for, are looped over.
     """
-    key = _row_key(texts)
-    if strategy == "auto":
-        shape = candidates.agg(
-            F.count("*").alias("rows"), F.count_if(~F.col("ngram").rlike("^[^ ]+ [^ ]+$")).alias("odd")
-        ).first()
-        strategy = "loop" if shape.odd else "inline" if shape.rows <= INLINE_CANDIDATES else "equi"
+    key = [*_row_key(texts), ROW]
+    numbered = texts.withColumn(ROW, F.monotonically_increasing_id())
+    wanted = candidates.select("ngram").distinct()
+
+    def loop(some: DataFrame) -> DataFrame:
+        return numbered.select(*key, "text").join(some, F.contains("text", "ngram")).select(*key, "ngram")
+
     if strategy == "loop":
-        wanted = texts.select(*key, "text").join(candidates.select("ngram"), F.contains("text", "ngram"))
-        return wanted.select(*key, "ngram").distinct()
-    if strategy == "equi":
-        return _match_joined(texts, key, candidates)
-    return _match_inline(texts, key, [row.ngram for row in candidates.select("ngram").collect()])
+        return loop(wanted).drop(ROW)
+    parts = F.when(F.col("ngram").rlike("^[^ ]+ [^ ]+$"), 2).when(F.col("ngram").rlike("^[^ ]+ [^ ]+ "), 3).otherwise(1)
+    sized = wanted.withColumn("parts", parts)
+    size = sized.agg(
+        F.count("*").alias("rows"), F.count_if(F.col("parts") == 3).alias("longer"), F.count_if(F.col("parts") == 1).alias("single")
+    ).first()
+    if strategy == "auto":
+        strategy = "inline" if size.rows <= INLINE_CANDIDATES else "equi"
+
+    def paired(some: DataFrame) -> DataFrame:
+        if strategy == "equi":
+            return _match_joined(numbered, key, some)
+        return _match_inline(numbered, key, [row.ngram for row in some.collect()])
+
+    found = paired(sized.filter("parts = 2").select("ngram"))
+    if size.longer:
+        head = F.concat_ws(" ", F.split_part("ngram", F.lit(" "), F.lit(1)), F.split_part("ngram", F.lit(" "), F.lit(2)))
+        several = sized.filter("parts = 3").select("ngram", head.alias("head"))
+        heads = paired(several.select(F.col("head").alias("ngram")).distinct()).withColumnRenamed("ngram", "head")
+        near = heads.join(several, "head").join(numbered.select(ROW, "text"), ROW)
+        found = found.unionByName(near.filter(F.contains("text", "ngram")).select(*key, "ngram"))
+    if size.single:
+        found = found.unionByName(loop(sized.filter("parts = 1").select("ngram")))
+    return found.drop(ROW)
 
 
 def ngram_document_frequency(texts: DataFrame, candidates: DataFrame, strategy: str = "auto") -> DataFrame:
-    """(ngram, freq): articles with the n-gram, zero for candidates without any."""
+    """(ngram, freq): rows of `texts` with the n-gram, zero for candidates without any."""
     found = match_ngrams(texts, candidates, strategy).groupBy("ngram").agg(F.count("*").alias("freq"))
     return candidates.select("ngram").join(found, "ngram", "left").fillna(0, ["freq"])
 

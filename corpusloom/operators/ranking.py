@@ -69,13 +69,15 @@ def index_tokens(article_stats: DataFrame) -> DataFrame:
     return ranked.select("token", (F.col("_rank") - 1).alias("code"))
 
 
-def sample_articles(df: DataFrame, k: int, seed: int, key: str = "id") -> DataFrame:
-    """All rows of `k` pseudo-random ids, or everything when there are no more than `k`.
+def sample_articles(df: DataFrame, k: int | None, seed: int, key: str = "id") -> DataFrame:
+    """All rows of `k` pseudo-random ids, or everything when there are no more than `k` or `k` is None.
 
     Ids are ordered by a seeded hash. A histogram over the first hash digits finds the bucket with
     the k-th id, only that bucket is sorted, and the rows are then filtered where they are: no task
     sees more than one bucket, and repeats of one id cost nothing.
     """
+    if k is None:
+        return df
     digest = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
     bucket = F.conv(F.substring(digest, 1, HASH_BUCKET_DIGITS), 16, 10).cast("int")
     ids = df.select(key).distinct().select(bucket.alias("bucket"), F.struct(digest.alias("h"), F.col(key)).alias("at"))

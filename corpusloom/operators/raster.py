@@ -97,7 +97,7 @@ def shade(raster: DataFrame, palette_: DataFrame) -> DataFrame:
 def visualize_embeddings(projection: DataFrame, clusters: DataFrame, opts: Options = Options()) -> DataFrame:
     """The picture of a projection as a pixel table."""
     sample = sample_articles(projection, opts.raster_max_articles, opts.random_seed, key="article_id")
-    # read by the quantiles and by the raster; at most `raster_max_articles` rows
+    # read by the quantiles and by the raster
     points = staged(with_cluster(sample, clusters), "points")
     raster = bin_points(points, opts.raster_width, opts.raster_height, clip_bounds(points, opts.clip_quantile))
     return shade(raster, palette(clusters))

@@ -98,6 +98,8 @@ def dense_counts(articles: DataFrame, counts: DataFrame, kind: str, dim: int) ->
     """(article_id, embedding array<double>) from the coordinate form, zero rows included."""
     rows = (
         counts.filter(F.col("embedding") == kind)
+        .groupBy("article_id", "dim")
+        .agg(F.sum("n").alias("n"))  # an article in several batches has a token several times
         .groupBy("article_id")
         .agg(F.sort_array(F.collect_list(F.struct("dim", "n"))).alias("entries"))
     )

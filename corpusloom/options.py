@@ -51,15 +51,15 @@ class Options:
     exclude_missing_title: bool = True
     min_length: int = 3
     token_min_freq: int = 10_000
-    subsample_num_articles: int = 100_000
+    subsample_num_articles: int | None = None  # None: all articles, here and below
     token_min_cor: float = 0.15
     ngram_min_freq: int = 100
     min_article_ratio: float = 0.001
     max_article_ratio: float = 0.5
     num_clusters: int = 10
-    projection_max_articles: int = 750_000
+    projection_max_articles: int | None = None
     n_neighbors: int = 15
-    raster_max_articles: int = 750_000
+    raster_max_articles: int | None = None
     raster_width: int = 1000
     raster_height: int = 1000
     clip_quantile: float = 0.995

@@ -59,14 +59,14 @@ def stats_sql(source: str) -> str:
         WHERE length(token) >= 3 AND token NOT IN (SELECT word FROM stop) GROUP BY id, token)"""
 
 
-def pooled(source: str, length: int = 512) -> str:
+def pooled(source: str) -> str:
     """Entries of the hash encoder's article vectors for (id, text)."""
     d = ENCODER_DIM
     entry = f"(16 * ({HEX.format('2 * k + 1')}) + {HEX.format('2 * k + 2')}) / 255.0"
     return f"""
     sents AS (SELECT id, s, unnest(s) AS sentence, generate_subscripts(s, 1) AS sent FROM (
         SELECT id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM {source})),
-    pieces AS (SELECT id, sent, list_filter(string_split(sentence, ' '), lambda t: t <> '')[1:{length}] AS w FROM sents),
+    pieces AS (SELECT id, sent, list_filter(string_split(sentence, ' '), lambda t: t <> '') AS w FROM sents),
     hashed AS (SELECT id, sent, md5(unnest(w)) AS h FROM pieces),
     dims AS (SELECT range AS k FROM range({d})),
     sent_means AS (SELECT id, sent, k, avg(CAST({entry} AS DOUBLE)) AS v FROM hashed, dims GROUP BY id, sent, k),
@@ -284,9 +284,9 @@ oracle("p17_clip", "points bounds", f"""SELECT article_id, round(x1, 6) AS x1, r
 oracle("p18_column_pruning", "article_stats", "SELECT id, count(*) AS tokens FROM article_stats GROUP BY id")
 oracle("p19_id_cast", "article_stats", "SELECT id, CAST(sum(n) AS BIGINT) AS n FROM article_stats GROUP BY id")
 oracle("p20_dictionary", "totals", "SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code FROM totals")
-oracle("p21_replace_ngrams", "articles", f"""SELECT id, md5(a) AS abstract,
+oracle("p21_replace_ngrams", "articles", f"""SELECT id, md5(t) AS title, md5(a) AS abstract,
     CAST(length(a) - length(replace(a, '_', '')) AS INTEGER) AS marks
-    FROM (SELECT id, {joined('abstract', TWO_PARTS)} AS a FROM articles)""")
+    FROM (SELECT id, {joined('title', TWO_PARTS)} AS t, {joined('abstract', TWO_PARTS)} AS a FROM articles)""")
 oracle("p22_sentences", "articles", """SELECT id, sent, CAST(length(sentence) AS INTEGER) AS chars, md5(sentence) AS sentence FROM (
     SELECT id, unnest(s) AS sentence, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sent FROM (
     SELECT id, string_split(regexp_replace(replace(title || ' ' || abstract, chr(10), ' '), '([.!?])\\s+',
@@ -427,8 +427,7 @@ def small_picture(name: str, rows: str) -> None:
     PARTS["picture"] = kept
 
 
-small_picture("v08_rasterize", """SELECT * FROM clustered WHERE article_id IN
-    (SELECT article_id FROM clustered ORDER BY md5('321-' || article_id), article_id LIMIT 400)""")
+small_picture("v08_rasterize", "SELECT * FROM clustered")
 small_picture("r15_visualize", "SELECT * FROM clustered")
 
 PARTS["joined_tokens"] = (f"SELECT id, unnest(regexp_extract_all({collapsed('text')}, '{WORD}+')) AS token FROM texts", "texts")
@@ -438,16 +437,8 @@ oracle("r02_combine_article_stats", "article_stats", """SELECT id, token, dense_
 STAT_COLUMNS = ["tf", "idf", "mean_tfidf", "ridf", "adj_ridf"]
 oracle("r03_token_stats", "token_stats", "SELECT token, n, num_articles, "
        + ", ".join(f"round({c}, 6) AS {c}" for c in STAT_COLUMNS) + " FROM token_stats")
-PARTS["sampled_presence"] = (f"""SELECT id, token FROM presence WHERE id IN (SELECT id FROM
-    (SELECT DISTINCT id FROM presence) ORDER BY md5('321-' || id), id LIMIT {N_DOCS} // 2)""", "presence")
-oracle("r04_token_cooccurrence", "sampled_presence", "SELECT id, token FROM sampled_presence")
-oracle("r05_token_correlations", "sampled_presence", """SELECT a.token AS token1, b.token AS token2, round(corr(x, y), 6) AS cor
-    FROM (SELECT ids.id, t.token, CAST(p.id IS NOT NULL AS INTEGER) AS x FROM ids CROSS JOIN words t
-        LEFT JOIN sampled_presence p ON p.id = ids.id AND p.token = t.token) a
-    JOIN (SELECT ids.id, t.token, CAST(p.id IS NOT NULL AS INTEGER) AS y FROM ids CROSS JOIN words t
-        LEFT JOIN sampled_presence p ON p.id = ids.id AND p.token = t.token) b
-    ON a.id = b.id AND a.token < b.token GROUP BY a.token, b.token""", """
-    ids AS (SELECT DISTINCT id FROM sampled_presence), words AS (SELECT DISTINCT token FROM sampled_presence)""")
+oracle("r04_token_cooccurrence", "presence", "SELECT DISTINCT id, token FROM presence")
+oracle("r05_token_correlations", "singles pair_counts", FULL)
 oracle("r06_correlated_token_pairs", "pairs", "SELECT token1, token2, round(cor, 6) AS cor FROM pairs")
 oracle("r07_detect_ngrams", "ngram_counts", "SELECT ngram, freq FROM ngram_counts")
 oracle("r08_combine_ngrams", "ngram_counts known", f"""SELECT ngram, {SIZE}, freq FROM (SELECT ngram FROM ngram_counts
@@ -466,11 +457,12 @@ oracle("r12_combine_embeddings", "repeated", """SELECT article_id, CAST(generate
     round(unnest(embedding), 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY version DESC) AS r
     FROM repeated) WHERE r = 1""")
 
-oracle("f01_regex_rewrite", "articles", f"SELECT id, md5({joined('title', ['der die', 'of the'])}) AS title FROM articles")
+REWRITTEN = ", ".join(f"md5({joined(c, ['der die', 'of the'])}) AS {c}" for c in ("title", "abstract"))
+oracle("f01_regex_rewrite", "articles", f"SELECT id, {REWRITTEN} FROM articles")
 oracle("f02_variance_test", "flat", "SELECT article_id, list_max(embedding) = list_min(embedding) AS constant FROM flat")
 oracle("f03_sql_functions", "scored", "SELECT token, round(ridf, 6) AS ridf, round(idf, 6) AS idf FROM scored")
-oracle("f04_batch_inference", "articles", "SELECT * FROM encoded", "src AS (SELECT id, title AS text FROM articles),"
-       + pooled("src", 3))
+oracle("f04_batch_inference", "articles", "SELECT * FROM encoded",
+       "src AS (SELECT id, replace(title || ' ' || abstract, chr(10), ' ') AS text FROM articles)," + pooled("src"))
 oracle("e01_jaccard_neighbours", "dense_counts", f"""SELECT article_id, neighbour, rank, distance
     FROM ({near('dense_counts', JACCARD)})""")
 oracle("e02_cosine_neighbours", "dense_counts", f"""SELECT article_id, neighbour, rank, distance

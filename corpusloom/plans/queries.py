@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,14 +74,16 @@ class Inputs:
             ngram_min_freq=n // 100,
             min_article_ratio=0.01,
             embedding_dim=64,
-            subsample_num_articles=n // 2,
-            projection_max_articles=400,
-            raster_max_articles=400,
             raster_width=50,
             raster_height=50,
             clip_quantile=CLIP,
         )
 
+    @cached_property
+    def sample_size(self) -> int:
+        """Half of the articles, for the two queries that show the sample itself."""
+        return self.table("documents").count() // 2
+
     @cached_property
     def articles(self) -> DataFrame:
         return A.read_documents(self.spark, self.folder)
@@ -462,8 +463,10 @@ def p20_dictionary(i: Inputs):
 
 @query
 def p21_replace_ngrams(i: Inputs):
-    rewritten = i.articles.withColumn("abstract", X.join_parts(F.col("abstract"), [g for g in NGRAMS if g.count(" ") == 1]))
-    return rewritten.select("id", F.md5("abstract").alias("abstract"), F.regexp_count("abstract", F.lit("_")).alias("marks"))
+    pairs = [g for g in NGRAMS if g.count(" ") == 1]
+    rewritten = i.articles.withColumns({c: X.join_parts(F.col(c), pairs) for c in ("title", "abstract")})
+    marks = F.regexp_count("abstract", F.lit("_")).alias("marks")
+    return rewritten.select("id", F.md5("title").alias("title"), F.md5("abstract").alias("abstract"), marks)
 
 
 @query
@@ -499,7 +502,7 @@ def j01_semi_join_tokens(i: Inputs):
 
 @query
 def j02_semi_join_articles(i: Inputs):
-    sample = ranking.sample_articles(i.articles.select("id"), i.opts.subsample_num_articles, i.opts.random_seed)
+    sample = ranking.sample_articles(i.articles.select("id"), i.sample_size, i.opts.random_seed)
     return cooccurrence.semi_join_articles(i.article_stats, sample)
 
 
@@ -758,7 +761,7 @@ def t09_tokens_in_order(i: Inputs):
 
 @query
 def t10_sample_articles(i: Inputs):
-    return ranking.sample_articles(i.articles.select("id", "batch"), i.opts.subsample_num_articles, 321)
+    return ranking.sample_articles(i.articles.select("id", "batch"), i.sample_size, 321)
 
 
 # set operations
@@ -995,20 +998,18 @@ def r13_cluster_counts(i: Inputs):
 @query
 def r14_project_counts(i: Inputs):
     words = tokens.kept_words(i.articles, (), i.stop_list, Options())
-    opts = replace(i.opts, projection_max_articles=1_000_000)
-    return projection.project_articles(vocabulary.count_vectors(words, i.vocab, "ensemble"), opts)
+    return projection.project_articles(vocabulary.count_vectors(words, i.vocab, "ensemble"), i.opts)
 
 
 @query
 def r15_visualize(i: Inputs):
-    return rounded(raster.visualize_embeddings(i.points, i.clusters, replace(i.opts, raster_max_articles=1_000_000)))
+    return rounded(raster.visualize_embeddings(i.points, i.clusters, i.opts))
 
 
 @query
 def r16_run_all(i: Inputs):
     out = stage_path(i.spark, "run")
-    opts = replace(i.opts, projection_max_articles=1_000_000, raster_max_articles=1_000_000)
-    made = run_all(i.spark, i.articles, i.known, i.stop_list, dense.hash_encoder(ENCODER_DIM), out, opts)
+    made = run_all(i.spark, i.articles, i.known, i.stop_list, dense.hash_encoder(ENCODER_DIM), out, i.opts)
     parts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("rows")) for name, df in made.items()]
     return tokens.union_batches(*parts)
 
@@ -1018,7 +1019,8 @@ def r16_run_all(i: Inputs):
 
 @query
 def f01_regex_rewrite(i: Inputs):
-    return i.articles.select("id", F.md5(X.join_parts(F.col("title"), ["der die", "of the"])).alias("title"))
+    pairs = ["der die", "of the"]
+    return i.articles.select("id", *(F.md5(X.join_parts(F.col(c), pairs)).alias(c) for c in ("title", "abstract")))
 
 
 @query
@@ -1038,8 +1040,8 @@ def f03_sql_functions(i: Inputs):
 
 @query
 def f04_batch_inference(i: Inputs):
-    texts = i.articles.select("id", F.col("title").alias("text"))
-    return entries(dense.encode_texts(texts, dense.hash_encoder(ENCODER_DIM, max_length=3)), "article_id")
+    texts = i.articles.select("id", X.encoder_text("both", False).alias("text"))
+    return entries(dense.encode_texts(texts, dense.hash_encoder(ENCODER_DIM), max_length=3), "article_id")
 
 
 # goals beyond the steps
