@@ -67,16 +67,23 @@ def bucket_of(term: str) -> int:
 def fit(rows: list[np.ndarray], label: np.ndarray, epochs=12, rate=0.5, l1=3e-3, l2=3e-2, weight_toxic=2.0, batch=128, least_docs=3, seed=7) -> Machine:
     """Proximal AdaGrad on the log loss: L1 on the weights, L2 on the factors; toxic rows, being few, weigh more."""
     label = np.asarray(label, dtype=float)
-    count = np.bincount(np.concatenate(rows), minlength=1 << HASH_BITS) if len(rows) else np.zeros(1 << HASH_BITS)
+    count = np.zeros(1 << HASH_BITS, dtype=np.int32)
+    for row in rows:
+        count[row] += 1  # a row has a bucket once
     kept = np.flatnonzero(count >= least_docs)
     n, share = len(kept), float(label.mean()) if len(label) else 0.0
     bias = float(np.log(np.clip(share, 1e-9, 1 - 1e-9) / (1 - np.clip(share, 1e-9, 1 - 1e-9))))
     if not 0 < share < 1 or n == 0:
         return Machine(kept[:0], np.zeros(0), np.zeros((0, FACTORS)), bias)
     rng = np.random.default_rng(seed)
-    place = np.full(1 << HASH_BITS, -1)
-    place[kept] = np.arange(n)
-    rows = [p[p >= 0] for p in (place[r] for r in rows)]
+    place = np.full(1 << HASH_BITS, -1, dtype=np.int32)
+    place[kept] = np.arange(n, dtype=np.int32)
+    sizes = np.array([np.count_nonzero(place[r] >= 0) for r in rows])
+    flat, ends = np.empty(int(sizes.sum()), dtype=np.int32), np.cumsum(sizes)
+    for row, end, size in zip(rows, ends.tolist(), sizes.tolist(), strict=True):
+        found = place[row]
+        flat[end - size : end] = found[found >= 0]
+    rows = np.split(flat, ends[:-1])
     weight, factor = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
     seen_w, seen_v, seen_b = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2), 1e-2
     epochs = max(epochs, min(25, 200_000 // len(rows)))  # a small sample is passed over more often
@@ -124,9 +131,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000,
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "terms"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sample.select("doc_id", "text", "label").mapInArrow(hashed, f"doc_id {kind}, label int, terms array<int>").toPandas()
-    got = got.sort_values("doc_id", kind="stable")
-    return fit([np.asarray(r, dtype=np.int64) for r in got["terms"]], got["label"].to_numpy(), **options)
+    hashed_rows = sample.select("doc_id", "text", "label").mapInArrow(hashed, f"doc_id {kind}, label int, terms array<int>")
+    # as Arrow and not as Python objects: the terms of all rows are one buffer
+    got = hashed_rows.toArrow().combine_chunks()
+    if not got.num_rows:
+        return fit([], np.zeros(0), **options)
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    terms = got.column("terms").chunk(0)
+    flat, ends = terms.values.to_numpy(), terms.offsets.to_numpy()
+    label = got.column("label").to_numpy()[order]
+    return fit([flat[ends[k] : ends[k + 1]] for k in order], label, **options)
 
 
 class _Finder:
