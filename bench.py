@@ -1,7 +1,8 @@
 """Time the headline steps on one folder of data and print one JSON line.
 
 Each step reads the written tables of the steps before it, as in a real run, and is computed in full
-into a sink that keeps nothing.
+into a sink that keeps nothing. The time of a step is the median of RUNS runs, after one that warms up if it is
+short; long steps are run fewer times.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import sys
 import time
 from collections.abc import Callable
 from pathlib import Path
+from statistics import median
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
@@ -41,10 +43,23 @@ def steps(i: Inputs) -> dict[str, Callable[[], DataFrame]]:
     }
 
 
+RUNS = 3
+LONG_S = 6.0
+
+
 def compute(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def timed(step: Callable[[], DataFrame]) -> float:
+    found = []
+    while len(found) < RUNS + 1 and sum(found) < LONG_S * 2:
+        start = time.perf_counter()
+        compute(step())
+        found.append(time.perf_counter() - start)
+    return round(median(found[1:] or found), 3)
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -64,12 +79,8 @@ def main() -> None:
     for name, step in steps(inputs).items():
         for needed in NEEDS.get(name, ()):
             getattr(inputs, needed)
-        start = time.perf_counter()
-        compute(step())
-        times[name] = round(time.perf_counter() - start, 3)
-    start = time.perf_counter()
-    compute(flagship(spark, folder))
-    times["flagship_from_text"] = round(time.perf_counter() - start, 3)
+        times[name] = timed(step)
+    times["flagship_from_text"] = timed(lambda: flagship(spark, folder))
     total = round(sum(times.values()), 3)
     sf = Path(folder).name.removeprefix("sf")
     print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec", "queries": times, "sf": float(sf)}))
