@@ -18,7 +18,15 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     near = _both_ways(links)
     least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one link downwards or only links from above, so that all components are stars."""
+    ends = links.select(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionAll(links.select(F.col("b").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    sums = ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return sums.where("down > 1 OR (down = 1 AND up = 1)").limit(1).count() == 0
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -36,13 +44,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = staged(ordered.distinct(), "links")
-    mark = None
     for _ in range(MOST_ROUNDS):
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark or not seen[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
-                now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        mark = seen
+        if _settled(now):
+            ends = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(ends)
         now = staged(_small_star(_large_star(now)), "links")
     raise RuntimeError("components did not settle")
