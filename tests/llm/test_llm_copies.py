@@ -203,7 +203,7 @@ def line_rows():
 def brute_lines(rows):
     parts = sorted((i, n, tuple(line_dedup.normal(x))) for i, t in rows if i is not None for n, x in enumerate((t or "").split("\n")))
     parts = [p for p in parts if len(p[2]) >= 5]
-    codes = line_dedup._Hasher()([list(p[2]) for p in parts]).view(np.uint64) if parts else np.zeros(0, dtype=np.uint64)
+    codes = line_dedup.simhashes([list(p[2]) for p in parts]).view(np.uint64) if parts else np.zeros(0, dtype=np.uint64)
     parent = list(range(len(parts)))
     for a in range(len(parts)):
         for b in range(a):
