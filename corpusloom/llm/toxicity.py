@@ -50,7 +50,8 @@ class Machine:
             at = np.concatenate([rows[k] for k in full])
             starts = np.cumsum(sizes[full]) - sizes[full]
             out[full] += _margin(self.weight, self.factor, at, starts)[0]
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+        # sums over different batches differ in the last bits; copies of a text shall not
+        return (1 / (1 + np.exp(-np.clip(out, -30, 30)))).round(9)
 
 
 def _margin(weight, factor, at, starts):

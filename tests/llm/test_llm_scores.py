@@ -104,7 +104,7 @@ def test_machine_margin_by_brute_force():
     rows = [np.array([0, 3, 8]), np.array([], dtype=int), np.array([5])]
     for row, p in zip(rows, m.score(rows), strict=True):
         z = 0.3 + m.weight[row].sum() + sum(m.factor[i] @ m.factor[j] for i in row for j in row if i < j)
-        assert abs(p - 1 / (1 + np.exp(-z))) < 1e-9
+        assert abs(p - 1 / (1 + np.exp(-z))) < 1e-8
 
 
 def test_attention_gradient():
