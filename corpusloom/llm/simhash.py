@@ -58,16 +58,16 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * count > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed number) of every document."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, *more: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed number) and the columns `more` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return bytes_of(docs).mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
+    return bytes_of(docs, "text", "doc_id", *more).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long{kinds}")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -144,16 +144,20 @@ def fingerprint_links(nodes: DataFrame, most_bits: int = MOST_BITS) -> DataFrame
     return sorted_.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id that links reach) of every document."""
-    found = staged(fingerprints(docs, width), "fingerprints")
+def _named(found: DataFrame, most_bits: int) -> DataFrame:
+    """fp, root (a fingerprint that names its component, also without ids) and component_id of every fingerprint."""
     nodes = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     groups = components(fingerprint_links(nodes.select("fp"), most_bits))
     groups = groups.join(nodes, groups["node"] == nodes["fp"]).select("fp", "component", "first")
     least = groups.groupBy("component").agg(F.min("first").alias("least"))
-    named = nodes.join(groups.join(least, "component").select("fp", "least"), "fp", "left")
-    named = named.select("fp", F.coalesce("least", "first").alias("component_id"))
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(groups.join(least, "component").select("fp", "component", "least"), "fp", "left")
+    return named.select("fp", F.coalesce("component", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
+    """doc_id, fp and component_id (the least doc_id that links reach) of every document."""
+    found = staged(fingerprints(docs, width), "fingerprints")
+    return found.join(_named(found, most_bits), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):
@@ -161,7 +165,18 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """One document of each component, with all its columns; of repeated rows of an id one stays."""
-    groups = near_duplicates(docs, width, most_bits)
-    kept = groups.where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component, with all its columns: the least doc_id (null: last), then the least hash of the text.
+
+    Of rows with the same id and text one stays.
+    """
+    mark = "text_mark"
+    while mark in docs.columns:
+        mark += "_"
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    found = staged(fingerprints(marked.select("doc_id", "text", F.col(mark).alias("mark")), width, "mark"), "fingerprints")
+    roots = found.join(_named(found, most_bits).select("fp", "root"), "fp")
+    # a null id is greater than any other
+    first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.mark").alias("kept_mark"))
+    same = marked["doc_id"].eqNullSafe(kept["kept_id"]) & (marked[mark] == kept["kept_mark"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", mark]).drop(mark)

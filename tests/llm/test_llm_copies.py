@@ -165,6 +165,16 @@ def test_links_connect_all_near_fingerprints(spark, monkeypatch, block):
     assert got == {s: r for s, r in roots.items() if r in many}
 
 
+def test_one_document_of_each_component_stays(frame):
+    other = [prose(40 + k, 60) for k in range(5)]
+    rows = [(None, t) for t in other[:3]] + [(None, other[0]), (3, other[1]), (5, other[3]), (5, other[4]), (6, other[4]), (5, other[3])]
+    docs = frame(rows)
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(None, other[0]), (None, other[2]), (3, other[1]), (5, other[3]), (5, other[4])], key=str)
+
+
 # lines
 
 
