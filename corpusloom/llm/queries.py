@@ -62,7 +62,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
     return out.select(
         "doc_id",

@@ -250,6 +250,45 @@ def test_emptied_documents_go_and_empty_ones_stay(frame):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, line), (3, ""), (4, None), (5, "more"), (None, line)], key=str)
 
 
+def brute_similar(rows, fewest):
+    """Removed lines by edit similarity alone: over characters if both lines have fewer than five words, else over words."""
+    parts = sorted((i, n, line_dedup.normal(x)) for i, t in rows for n, x in enumerate(t.split("\n")))
+    parts = [p for p in parts if len(p[2]) >= fewest]
+    parent = list(range(len(parts)))
+    for a in range(len(parts)):
+        for b in range(a):
+            x, y = parts[a][2], parts[b][2]
+            if max(len(x), len(y)) < 5:
+                x, y = " ".join(x), " ".join(y)
+            if x == y or 1 - slow_distance(x, y) / max(len(x), len(y)) >= 0.8 - 1e-9:
+                x, y = find(parent, a), find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    gone = {}
+    for k, (i, n, _) in enumerate(parts):
+        if find(parent, k) != k:
+            gone.setdefault(i, set()).add(n)
+    return gone
+
+
+@pytest.mark.parametrize("block", [None, 2])
+def test_all_lines_at_edit_similarity_are_linked(frame, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(line_dedup, "MEETING", block)
+        monkeypatch.setattr(line_dedup, "TEXTS", block)
+    rng = random.Random(11)
+    rows = [(i, t.replace("\nYes.", "")) for i, t in line_rows()]
+    for k in range(60):
+        words = prose(300 + k % 12, 5 + k % 12 * 3).split(" ")
+        for _ in range(rng.randint(0, len(words) // 4)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = [rng.choice(("qq", "mi", "ka"))] * rng.randint(0, 1)
+        rows.append((100 + k, " ".join(words)))
+    gone = brute_similar(rows, 5 if line_dedup.FEWEST_WORDS == 5 else 1)
+    assert sum(map(len, gone.values())) > sum(map(len, brute_lines(rows).values()))
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(rows), whole=True).collect()}
+    assert {i: set(r.lines_gone) for i, r in got.items() if r.lines_gone} == gone
+
+
 # decontamination
 
 
