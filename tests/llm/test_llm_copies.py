@@ -289,6 +289,13 @@ def test_all_lines_at_edit_similarity_are_linked(frame, monkeypatch, block):
     assert {i: set(r.lines_gone) for i, r in got.items() if r.lines_gone} == gone
 
 
+def test_texts_of_one_id_are_documents_of_their_own(frame):
+    a, b, c, d = (prose(60 + k, 12) for k in range(4))
+    rows = [(1, a), (5, f"{b}\n{a}"), (5, f"{c}\n{d}"), (5, f"{c}\n{d}"), (6, d)]
+    out = [(r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(frame(rows)).collect()]
+    assert sorted(out) == sorted([(1, a), (5, b), (5, f"{c}\n{d}"), (5, f"{c}\n{d}")])
+
+
 # decontamination
 
 
