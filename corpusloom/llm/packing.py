@@ -23,6 +23,7 @@ import os
 from array import array
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
 from functools import cache
 
 import numpy as np
@@ -87,6 +88,33 @@ def _encoder(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _due_by(within: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """floor(within * count / size + 1/2) without rounding: tokens of a source that are due by `within / size`.
+
+    The quotient of floats is off by less than one; the remainder that the wrapped 64-bit product leaves puts it right.
+    """
+    guess = np.floor(within * (count / size) + 0.5).astype(np.int64)
+    left = 2 * within * count + size - guess * 2 * size
+    return np.clip(guess + np.floor_divide(left, 2 * size), 0, count)
+
+
+def _extreme(due: np.ndarray, token: np.ndarray, count: np.ndarray, sign: int) -> np.ndarray:
+    """Per row the column that is due first (`sign` 1; ties: first column) or last (-1; ties: last column).
+
+    Floats that are too near to tell apart are compared again as fractions.
+    """
+    due = due * sign
+    n = due.shape[1]
+    best = due.argmin(axis=1) if sign > 0 else n - 1 - due[:, ::-1].argmin(axis=1)
+    if n > 1:
+        least = due.min(axis=1)
+        close = due <= (least + np.abs(least) * 1e-12)[:, None]
+        for r in np.flatnonzero(close.sum(axis=1) > 1).tolist():
+            at = np.flatnonzero(close[r]).tolist()
+            best[r] = min(at, key=lambda s: (sign * Fraction(2 * int(token[r, s]) + 1, 2 * int(count[r, s])), sign * s))
+    return best
+
+
 @dataclass(frozen=True)
 class Schedule:
     """What every source has been served after any number of tokens.
@@ -147,18 +175,35 @@ class Schedule:
         count, size = self.count[phase], self.count.sum(axis=1)[phase]
         within = rank - self.rank[phase]
         scale = np.where(count > 0, count, 1).astype(float)
-        got = np.clip(np.floor(within[:, None] * (count / size[:, None]) + 0.5), 0, count).astype(np.int64)
+        got = _due_by(within[:, None], count, size[:, None])
         off = within - got.sum(axis=1)
         while off.any():
             # the j-th token of a source is due at (j + 1/2) / count; ties go to the first source
             more, less = np.flatnonzero(off > 0), np.flatnonzero(off < 0)
             due = np.where(got[more] < count[more], (got[more] + 0.5) / scale[more], np.inf)
-            got[more, due.argmin(axis=1)] += 1
+            got[more, _extreme(due, got[more], count[more], 1)] += 1
             last = np.where(got[less] > 0, (got[less] - 0.5) / scale[less], -np.inf)
-            got[less, last.shape[1] - 1 - last[:, ::-1].argmax(axis=1)] -= 1
+            got[less, _extreme(last, got[less] - 1, count[less], -1)] -= 1
             off = within - got.sum(axis=1)
         return self.taken[phase] + got
 
+    def holder(self, source: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The sequence that holds token `place` of a source: the last one before which at most `place` were served."""
+
+        def before(k: np.ndarray) -> np.ndarray:
+            needed, at = np.unique(k, return_inverse=True)
+            return self.served(self.bound(needed))[at, source]
+
+        guess = self.sequence_of(self.near(source, place))
+        low, high = np.maximum(guess - 1, 0), np.minimum(guess + 2, self.sequences)
+        low = np.where(before(low) <= place, low, 0)
+        high = np.where(before(high) > place, high, self.sequences)
+        while (high - low > 1).any():
+            middle = (low + high) // 2
+            fits = before(middle) <= place
+            low, high = np.where(fits, middle, low), np.where(fits, high, middle)
+        return low
+
     def near(self, source: np.ndarray, place: np.ndarray) -> np.ndarray:
         """About the rank at which token `place` of a source is served."""
         out = np.zeros(len(place), dtype=np.int64)
@@ -190,7 +235,6 @@ def _tokenize(path: str, end: int):
 
 def _cut(schedule: Schedule, queues: list[str], wide: bool):
     index = {q: k for k, q in enumerate(queues)}
-    margin = 2 + len(queues) // WINDOW
     kind = np.uint32 if wide else np.uint16
     names = ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
@@ -200,8 +244,7 @@ def _cut(schedule: Schedule, queues: list[str], wide: bool):
                 continue
             source = np.array([index[q] for q in batch.column("queue").to_pylist()])
             first, n = batch.column("first").to_numpy(), batch.column("n").to_numpy()
-            low = np.maximum(schedule.sequence_of(schedule.near(source, first)) - margin, 0)
-            high = np.minimum(schedule.sequence_of(schedule.near(source, first + n - 1)) + margin, schedule.sequences - 1)
+            low, high = schedule.holder(source, first), schedule.holder(source, first + n - 1)
             tries = high - low + 1
             row = np.repeat(np.arange(len(n)), tries)
             sequence = np.arange(len(row)) - np.repeat(np.cumsum(tries) - tries, tries) + low[row]

@@ -94,6 +94,29 @@ def test_served_equals_a_round_robin_by_token():
             assert np.abs(own - np.arange(n + 1)[:, None] * s.count[p] / n).max() <= len(totals) / 2 + 1
 
 
+def test_every_token_lies_in_one_sequence():
+    """Random totals, whose tails have sequences of 1, 2 and 4 tokens, where shares are rounded most."""
+    rng = random.Random(5)
+    for run in range(500):
+        totals = [rng.choice([1, 2, 3, 7, rng.randint(1, 1500), rng.randint(1, 6000)]) for _ in range(rng.randint(2, 20))]
+        if run % 3 == 0:
+            totals = [totals[0]] * len(totals)
+        s = packing.Schedule.of(totals, None if run % 2 else [rng.choice([0.0, 1.0, 2.5]) for _ in totals])
+        before = s.served(s.bound(np.arange(s.sequences + 1)))
+        assert (np.diff(before, axis=0) >= 0).all() and before[-1].tolist() == totals
+        for q, n in enumerate(totals):
+            places = np.unique(np.r_[np.arange(min(n, 30)), np.arange(max(0, n - 60), n)])
+            at = s.holder(np.full(len(places), q), places)
+            assert (before[at, q] <= places).all() and (places < before[at + 1, q]).all()
+
+
+def test_shares_of_huge_totals_are_exact():
+    s = packing.Schedule.of([10**13 + 7, 3 * 10**12 + 1, 5 * 10**11, 17])
+    k = np.random.default_rng(0).integers(0, s.sequences - len(s.tail), 500)
+    steps = s.served(s.bound(k + 1)) - s.served(s.bound(k))
+    assert (steps >= 0).all() and (steps.sum(axis=1) == packing.WINDOW).all()
+
+
 def test_packing_with_targets(frame):
     rng = random.Random(2)
     rows = [(k, prose(k, rng.randint(1, 400)), "big" if k % 3 else "small") for k in range(150)]
