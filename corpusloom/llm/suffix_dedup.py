@@ -123,10 +123,10 @@ def _segments(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[b
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Id, a checksum that tells repeated ids with other texts apart, and the text as bytes."""
+    """Id, 128 bits that tell repeated ids with other texts apart, and the text as bytes."""
     batches_of(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select("doc_id", F.hash(text).alias("mark"), text.alias("text"))
+    return docs.select("doc_id", F.unhex(F.md5(text)).alias("mark"), text.alias("text"))
 
 
 def parse(keyed: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def parse(keyed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "lo", "n", "back", "context", "phrase"])
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"doc_id {kind}, mark int, lo long, n short, back short, context long, phrase long")
+    return keyed.mapInArrow(run, f"doc_id {kind}, mark binary, lo long, n short, back short, context long, phrase long")
 
 
 def _string_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

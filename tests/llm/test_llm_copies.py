@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from conftest import DATA
 from corpusloom.llm import components, decontaminate, line_dedup, simhash, suffix_dedup
@@ -89,6 +90,18 @@ def test_repeats_of_the_given_documents(spark):
         assert (got.loc[i].n_removed, got.loc[i].kept_sha256) == (int(g.sum()), hashlib.sha256(kept).hexdigest())
 
 
+def test_texts_with_equal_checksums_keep_their_bytes(spark, frame):
+    """Rows without an id whose texts agree in Spark's 32-bit hash are told apart."""
+    common = prose(7, 80)
+    ids = spark.range(120_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("own"))
+    shared = ids.select(F.concat(F.lit(common), "own").alias("a"))
+    alone = ids.select(F.concat(F.sha2(F.col("own"), 512), F.sha2(F.concat("own", F.lit("x")), 512)).alias("b"))
+    pair = shared.withColumn("h", F.hash("a")).join(alone.withColumn("h", F.hash("b")), "h").limit(1).collect()
+    assert pair
+    rows = [(None, pair[0].a), (None, pair[0].b), (3, common)]
+    check_repeats(rows, suffix_dedup.without_repeats(frame(rows)).collect())
+
+
 # components
 
 
