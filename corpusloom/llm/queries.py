@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, html_text, line_dedup, packing, passages, quality_rules, simhash, suffix_dedup, toxicity, url_rules
+from corpusloom.llm import decontaminate, html_text, line_dedup, packing, passages, quality_rules, simhash, spelling, suffix_dedup, toxicity, url_rules
 from corpusloom.llm.common import read_table
 
 QUERIES = {}
@@ -79,6 +79,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.score_quality(docs, passages.fit_classifier(docs, read_table(spark, sf_dir, "labels")))
 
 
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_forms(read_table(spark, sf_dir, "documents"))
+
+
 _HOST = (
     r"translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), "
     "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
