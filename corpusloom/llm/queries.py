@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, html_text, line_dedup, packing, passages, quality_rules, simhash, spelling, suffix_dedup, toxicity, url_rules
+from corpusloom.llm import byte_bpe, decontaminate, html_text, line_dedup, packing, passages, quality_rules, simhash, spelling, suffix_dedup, toxicity, url_rules
 from corpusloom.llm.common import read_table
 
 QUERIES = {}
@@ -79,6 +79,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.score_quality(docs, passages.fit_classifier(docs, read_table(spark, sf_dir, "labels")))
 
 
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = byte_bpe.decode(byte_bpe.encode(read_table(spark, sf_dir, "documents")), byte_bpe.token_bytes(spark))
+    n_tokens = F.expr("octet_length(ids) div 4")
+    return decoded.select("doc_id", n_tokens.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_forms(read_table(spark, sf_dir, "documents"))

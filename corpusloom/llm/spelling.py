@@ -64,6 +64,7 @@ def damaged_runs(key: str, text: str) -> Iterator[tuple[str, int]]:
 def word_counts(docs: DataFrame, min_letters: int = MIN_LETTERS, min_count: int = MIN_COUNT) -> DataFrame:
     """(word, n) of all words of whole texts, counted within tasks before they are shuffled."""
     batches_of(docs.sparkSession)
+    most = HELD_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, int] = {}
@@ -77,7 +78,7 @@ def word_counts(docs: DataFrame, min_letters: int = MIN_LETTERS, min_count: int
                 for word, n in damaged_runs(key, text.lower().decode()):
                     if len(word) >= min_letters:
                         held[word] = held.get(word, 0) + n
-                if len(held) >= HELD_WORDS:
+                if len(held) >= most:
                     yield out()
                     held.clear()
         yield out()
