@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, decontaminate, html_text, line_dedup, packing, passages, quality_rules, simhash, spelling, suffix_dedup, toxicity, url_rules
+from corpusloom.llm import byte_bpe, decontaminate, dialogue, html_text, line_dedup, packing, passages, quality_rules, simhash, spelling, suffix_dedup, toxicity, url_rules
 from corpusloom.llm.common import read_table
 
 QUERIES = {}
@@ -86,6 +86,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", n_tokens.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_conversations(dialogue.damaged(read_table(spark, sf_dir, "conversations")))
+
+
 @query
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_forms(read_table(spark, sf_dir, "documents"))
