@@ -188,11 +188,6 @@ PARTS: dict[str, tuple[str, str]] = {
         """SELECT article_id, sent, dim, sum(v * mask) / greatest(sum(mask), 1e-9) AS value FROM (
         SELECT article_id, sent, mask, unnest(vec) AS v, generate_subscripts(vec, 1) - 1 AS dim FROM token_vectors)
         GROUP BY article_id, sent, dim""", "token_vectors"),
-    "dense_counts": (
-        """SELECT article_id, list(coalesce(n, 0) ORDER BY dim) AS embedding FROM (
-        SELECT id AS article_id, range AS dim FROM articles, range(64))
-        LEFT JOIN (SELECT article_id, dim, n FROM counts WHERE embedding = 'ensemble') USING (article_id, dim)
-        GROUP BY article_id HAVING max(coalesce(n, 0)) > min(coalesce(n, 0))""", "articles counts"),
 }
 
 
@@ -204,11 +199,7 @@ def near(source: str, distance: str, k: int = 5) -> str:
 
 
 COSINE = "1 - list_cosine_similarity(a.embedding, b.embedding)"
-JACCARD = """1 - len(list_filter(list_zip(a.embedding, b.embedding), lambda p: p[1] > 0 AND p[2] > 0)) /
-    len(list_filter(list_zip(a.embedding, b.embedding), lambda p: p[1] > 0 OR p[2] > 0))"""
-PARTS["short"] = ("SELECT article_id, embedding[1:32] AS embedding FROM emb", "emb")
 PARTS["near"] = (near("emb", COSINE), "emb")
-PARTS["near_short"] = (near("short", COSINE), "short")
 
 
 def with_parts(names: str, body: str, extra: str = "") -> str:
@@ -463,11 +454,31 @@ oracle("f02_variance_test", "flat", "SELECT article_id, list_max(embedding) = li
 oracle("f03_sql_functions", "scored", "SELECT token, round(ridf, 6) AS ridf, round(idf, 6) AS idf FROM scored")
 oracle("f04_batch_inference", "articles", "SELECT * FROM encoded",
        "src AS (SELECT id, replace(title || ' ' || abstract, chr(10), ' ') AS text FROM articles)," + pooled("src"))
-oracle("e01_jaccard_neighbours", "dense_counts", f"""SELECT article_id, neighbour, rank, distance
-    FROM ({near('dense_counts', JACCARD)})""")
-oracle("e02_cosine_neighbours", "dense_counts", f"""SELECT article_id, neighbour, rank, distance
-    FROM ({near('dense_counts', COSINE)})""")
-oracle("e03_neighbourhood_overlap", "near near_short", """SELECT article_id, count(s.neighbour) AS shared
-    FROM near LEFT JOIN near_short s USING (article_id, neighbour) GROUP BY article_id""")
+NEAR_TERMS = """SELECT article_id, neighbour, CAST(rank AS INTEGER) AS rank, distance FROM (SELECT *, row_number() OVER
+    (PARTITION BY article_id ORDER BY distance, neighbour) AS rank FROM (SELECT a.id AS article_id, b.id AS neighbour,
+    greatest(round(1 - coalesce({likeness}, 0), 9), 0) AS distance FROM articles a JOIN articles b ON a.id <> b.id
+    LEFT JOIN {both} ON x = a.id AND y = b.id)) WHERE rank <= 5"""
+
+
+def shared_terms(name: str, source: str, pair: str, own: str) -> str:
+    """`name`: (x, y, likeness) of all articles with a common term."""
+    return f"""{name}_own AS (SELECT id, {own} AS own FROM {source} GROUP BY id),
+    {name} AS (SELECT x, y, {pair} AS likeness FROM (SELECT a.id AS x, b.id AS y, count(*) AS k, sum(a.weight * b.weight) AS dot
+    FROM {source} a JOIN {source} b ON a.token = b.token AND a.id <> b.id GROUP BY a.id, b.id)
+    JOIN {name}_own p ON p.id = x JOIN {name}_own q ON q.id = y)"""
+
+
+DOT = "dot / nullif(sqrt(p.own) * sqrt(q.own), 0)"
+PARTS["tfidf"] = ("SELECT id, token, a.tf * idf AS weight FROM article_stats a JOIN scored USING (token)", "article_stats scored")
+oracle("e01_jaccard_neighbours", "articles article_stats", NEAR_TERMS.format(likeness="likeness", both="alike"),
+       shared_terms("alike", "(SELECT id, token, 1 AS weight FROM article_stats)", "k / (p.own + q.own - k)", "count(*)"))
+oracle("e02_cosine_neighbours", "articles tfidf", NEAR_TERMS.format(likeness="likeness", both="alike"),
+       shared_terms("alike", "tfidf", DOT, "sum(weight * weight)"))
+oracle("e03_neighbourhood_overlap", "articles tfidf vocab", """SELECT article_id, count(s.neighbour) AS shared
+    FROM wide LEFT JOIN narrow s USING (article_id, neighbour) GROUP BY article_id""",
+       shared_terms("alike", "tfidf", DOT, "sum(weight * weight)") + """,
+    few AS (SELECT * FROM tfidf WHERE token IN (SELECT token FROM vocab WHERE embedding = 'ensemble')),
+    """ + shared_terms("alike_few", "few", DOT, "sum(weight * weight)")
+       + ", wide AS (" + NEAR_TERMS.format(likeness="likeness", both="alike") + "), narrow AS (" + NEAR_TERMS.format(likeness="likeness", both="alike_few") + ")")
 oracle("e04_term_network", "pairs", """SELECT token, count(*) AS degree, round(sum(cor), 6) AS strength FROM (
     SELECT token1 AS token, cor FROM pairs UNION ALL SELECT token2, cor FROM pairs) GROUP BY token""")

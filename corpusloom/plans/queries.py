@@ -125,6 +125,12 @@ class Inputs:
     def token_stats(self) -> DataFrame:
         return staged(stats.token_stats(self.article_stats), "token-stats")
 
+    @cached_property
+    def tfidf(self) -> DataFrame:
+        """(id, token, weight) of all terms of the articles."""
+        idf = staged(self.token_stats.select("token", "idf"), "idf")
+        return staged(self.article_stats.join(idf, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("weight")), "tfidf")
+
     @cached_property
     def n_articles(self) -> F.Column:
         return stats.num_articles(self.article_stats).scalar()
@@ -1049,21 +1055,20 @@ def f04_batch_inference(i: Inputs):
 
 @query
 def e01_jaccard_neighbours(i: Inputs):
-    emb = vocabulary.dense_counts(i.articles, i.counts, "ensemble", i.opts.embedding_dim)
-    return neighbours.knn_graph(projection.drop_constant_vectors(emb), 5, "jaccard")
+    return neighbours.term_neighbours(i.article_stats, i.articles, 5, "jaccard")
 
 
 @query
 def e02_cosine_neighbours(i: Inputs):
-    emb = vocabulary.dense_counts(i.articles, i.counts, "ensemble", i.opts.embedding_dim)
-    return neighbours.knn_graph(projection.drop_constant_vectors(emb), 5)
+    return neighbours.term_neighbours(i.tfidf, i.articles, 5)
 
 
 @query
 def e03_neighbourhood_overlap(i: Inputs):
-    full = neighbours.knn_graph(i.embeddings, 5)
-    short = i.embeddings.withColumn("embedding", F.slice("embedding", 1, 32))
-    return neighbours.neighbourhood_overlap(full, neighbours.knn_graph(short, 5))
+    """Neighbours that stay when all terms give way to a vocabulary of 64."""
+    full = neighbours.term_neighbours(i.tfidf, i.articles, 5)
+    few = i.tfidf.join(i.vocab.filter("embedding = 'ensemble'").select("token"), "token", "left_semi")
+    return neighbours.neighbourhood_overlap(full, neighbours.term_neighbours(few, i.articles, 5))
 
 
 @query

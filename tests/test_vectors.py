@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
-from corpusloom.operators import clusters, dense, keys, neighbours, projection, raster
+from corpusloom.operators import clusters, dense, keys, neighbours, projection, raster, spaces
 from corpusloom.options import Options
 
 
@@ -75,7 +75,8 @@ def test_clusters(emb):
 
 @pytest.mark.parametrize("metric", ["cosine", "jaccard"])
 @pytest.mark.parametrize("block_rows", [17, 8192])
-def test_neighbours_equal_brute_force(emb, metric, block_rows):
+def test_neighbours_equal_brute_force(emb, metric, block_rows, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 40 if block_rows == 17 else 16_384)
     rows = {r.article_id: np.array(r.embedding) for r in emb.collect()}
 
     def distance(a, b):
@@ -92,6 +93,94 @@ def test_neighbours_equal_brute_force(emb, metric, block_rows):
         assert found[i] == want
 
 
+def listed(graph):
+    found = {}
+    for r in graph.orderBy("article_id", "rank").collect():
+        found.setdefault(r.article_id, []).append((r.distance, r.neighbour))
+    return found
+
+
+def test_few_cells_are_visited_when_vectors_cluster(spark, monkeypatch):
+    random = np.random.default_rng(4)
+    centres = random.normal(size=(30, 8)) * 20
+    x = np.concatenate([centres[np.arange(1500) % 30] + random.normal(size=(1500, 8)), np.zeros((2, 8))])
+    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "article_id bigint, embedding array<double>")
+    made = {}
+    keep = neighbours.staged
+
+    def noted(df, name):
+        made[name] = keep(df, name)
+        return made[name]
+
+    monkeypatch.setattr(neighbours, "staged", noted)
+    found = listed(neighbours.knn_graph(emb, 5, cell_rows=30))
+    norms = np.linalg.norm(x, axis=1)
+    for i in range(0, 1502, 7):
+        cos = np.divide(x @ x[i], norms * norms[i], out=np.zeros(len(x)), where=norms * norms[i] > 0)
+        d = np.maximum((1 - cos).round(9), 0)
+        assert found[i] == sorted((d[j], j) for j in range(len(x)) if j != i)[:5]
+    first = made["neighbours-within"]
+    cells = first.select("cell").distinct().count()
+    visited = first.agg(F.avg(F.size("visits"))).first()[0]
+    assert cells >= 25 and visited < 0.25 * cells
+
+
+def term_sets(seed, n):
+    """Articles of some topics, copies, subsets, and articles without terms."""
+    random = np.random.default_rng(seed)
+    sets = [set(random.zipf(1.5, size=random.integers(1, 40)).clip(max=50).tolist()) | {int(1000 * (i % 9) + t) for t in random.integers(0, 30, size=12)} for i in range(n)]
+    sets += [sets[3]] * 40 + [set(list(sets[4])[:k]) for k in range(1, 10)] + [set(), set()]
+    return {i: s for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "jaccard"])
+@pytest.mark.parametrize(("block_rows", "cell_rows"), [(4096, 512), (23, 10)])
+def test_term_neighbours_equal_brute_force(spark, metric, block_rows, cell_rows):
+    sets = term_sets(1, 150)
+    weight = {t: 1 + 7.0 / (1 + t % 50) for s in sets.values() for t in s}
+    rows = [(i, f"t{t}", weight[t] * (1 + i % 3 + t % 2)) for i, s in sets.items() for t in s]
+    weights = spark.createDataFrame(rows, "id bigint, token string, weight double")
+    articles = spark.createDataFrame([(i,) for i in sets], "id bigint")
+    found = listed(neighbours.term_neighbours(weights, articles, 4, metric, block_rows, cell_rows))
+    vectors = {i: {t: weight[t] * (1 + i % 3 + t % 2) for t in s} for i, s in sets.items()}
+
+    def distance(i, j):
+        a, b = vectors[i], vectors[j]
+        if metric == "jaccard":
+            either = len(a.keys() | b.keys())
+            return round(1 - (len(a.keys() & b.keys()) / either if either else 0), 9)
+        scale = math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+        return max(0.0, round(1 - (sum(v * b.get(t, 0) for t, v in a.items()) / scale if scale else 0), 9))
+
+    for i in sets:
+        want = sorted((distance(i, j), j) for j in sets if j != i)[:4]
+        assert [j for _, j in found[i]] == [j for _, j in want] and [d for d, _ in found[i]] == pytest.approx([d for d, _ in want], abs=2e-9)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "jaccard"])
+def test_lists_stop_before_most_pairs_are_compared(metric):
+    """Two blocks whose articles have near ones, besides terms that most articles share."""
+    random = np.random.default_rng(6)
+    sizes, codes = [], []
+    for i in range(600):
+        own = np.unique(np.concatenate([random.integers(60 * (i % 60), 60 * (i % 60) + 60, size=60), 4000 + random.integers(0, 40, size=30)]))
+        sizes.append(len(own))
+        codes.append(own)
+    codes = np.concatenate(codes)
+    weights = np.where(codes < 4000, 5.0, 1.0) if metric == "cosine" else np.ones(len(codes))
+    terms = spaces.Terms(np.concatenate([[0], np.cumsum(sizes)]), codes, weights)
+    if metric == "cosine":
+        terms = spaces.Terms(terms.offsets, codes, weights / np.sqrt(terms.total(weights**2))[terms.rows])
+    space = spaces.TermSpace(metric)
+    a, b, d = space.best(terms, terms, 5, np.full(600, spaces.FAR), np.arange(600))
+    every = space.distances(terms, terms)
+    np.fill_diagonal(every, np.inf)
+    r, c = spaces.nearest(every, 5)
+    assert (a == r).all() and (b == c).all() and (d == every[r, c]).all()
+    finished, pairs = space.counted
+    assert pairs == 600 * 600 and finished < 0.1 * pairs
+
+
 def test_neighbour_weights(emb):
     graph = neighbours.knn_graph(emb.filter("article_id < 200"), 5)
     found = neighbours.neighbor_weights(graph).collect()
