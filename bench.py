@@ -18,15 +18,31 @@ from statistics import median
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
-from corpusloom.operators import clusters, cooccurrence, dense, neighbours, ngrams, projection, raster, vocabulary  # noqa: E402
+from corpusloom.operators import clusters, cooccurrence, dense, neighbours, ngrams, projection, raster, tokens, vocabulary  # noqa: E402
 from corpusloom.operators.token_stats import token_stats  # noqa: E402
 from corpusloom.plans.queries import ENCODER_DIM, Inputs, flagship  # noqa: E402
 
 
+def frequent_pairs(i: Inputs, n: int) -> list[str]:
+    """The `n` most frequent pairs of neighbouring words, as an n-gram list."""
+    words = F.split("text", r"\s+")
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    counted = i.texts.select(F.explode(pairs).alias("ngram")).where("ngram RLIKE '^[a-z]+ [a-z]+$'").groupBy("ngram").count()
+    return [r.ngram for r in counted.orderBy(F.col("count").desc(), "ngram").limit(n).collect()]
+
+
 def steps(i: Inputs) -> dict[str, Callable[[], DataFrame]]:
+    lists = {n: frequent_pairs(i, n) for n in (10, 2000)}
+    counts = i.spark.createDataFrame([(g, 1000 - k // 4) for k, g in enumerate(lists[2000])], "ngram string, freq bigint")
+    with_list = {
+        f"r01_with_{n}_ngrams": lambda listed=listed: tokens.article_stats(i.articles, listed, i.stop_list) for n, listed in lists.items()
+    }
     return {
         "r01_article_stats": i.fresh_stats,
+        **with_list,
+        "r09_replace_2000_ngrams": lambda: ngrams.replace_ngrams(i.articles, counts, 1),
         "r03_token_stats": lambda: token_stats(i.article_stats),
         "r04_token_cooccurrence": lambda: cooccurrence.token_cooccurrence(i.article_stats, i.token_stats, i.opts),
         "j05_token_pairs": lambda: cooccurrence.token_pairs(i.presence),
@@ -39,6 +55,8 @@ def steps(i: Inputs) -> dict[str, Callable[[], DataFrame]]:
         "v02_kmeans": lambda: clusters.cluster_articles(i.embeddings, 10),
         "v05_project": lambda: projection.project_2d(i.embeddings),
         "v06_knn": lambda: neighbours.knn_graph(i.embeddings, 15),
+        "e01_jaccard_neighbours": lambda: neighbours.term_neighbours(i.article_stats, i.articles, 15, "jaccard"),
+        "e02_cosine_neighbours": lambda: neighbours.term_neighbours(i.tfidf, i.articles, 15),
         "r15_visualize": lambda: raster.visualize_embeddings(i.points, i.clusters, i.opts),
     }
 
@@ -92,6 +110,7 @@ NEEDS = {
     "r03_token_stats": ["article_stats"],
     "r04_token_cooccurrence": ["token_stats", "opts"],
     "j05_token_pairs": ["presence"],
+    "e02_cosine_neighbours": ["tfidf"],
     "r06_correlated_token_pairs": ["correlations"],
     "r07_detect_ngrams_inline": ["candidates"],
 }

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.automaton import folded, hits, spaced
+
 WORD_CHAR = r"[\p{L}\p{N}_]"
 UNROLL_LIMIT = 50
 
@@ -20,6 +22,12 @@ def source_text(source: str, title: str = "title", abstract: str = "abstract") -
     return parts[source]
 
 
+def with_text(articles: DataFrame, source: str = "both", lowercase: bool = True) -> DataFrame:
+    """Adds `text`: title, abstract or both, nulls as empty, lower case for tokens."""
+    text = source_text(source)
+    return articles.withColumn("text", F.lower(text) if lowercase else text)
+
+
 def words(text: Column, min_length: int = 1) -> Column:
     """All maximal runs of Unicode word characters of at least `min_length` code points."""
     return F.regexp_extract_all(text, F.lit(f"{WORD_CHAR}{{{max(1, min_length)},}}"), F.lit(0))
@@ -38,16 +46,6 @@ def without(words_: str, stop: Sequence[str]) -> Column:
     return F.expr(f"filter({words_}, w -> w NOT IN ({sql_list(stop)}))") if stop else F.col(words_)
 
 
-def endings_in(pieces: str, known: Sequence[str], at_end: bool) -> Column:
-    """Per string of the array column `pieces`, those of its endings (or beginnings) that are `known`."""
-    lengths = ", ".join(str(n) for n in sorted({len(k) for k in known}))
-    cut = "substr(p, length(p) - n + 1)" if at_end else "substr(p, 1, n)"
-    return F.expr(
-        f"transform({pieces}, p -> filter(transform(filter(array({lengths}), n -> n <= length(p)),"
-        f" n -> {cut}), s -> s IN ({sql_list(known)})))"
-    )
-
-
 def run_starts(sorted_words: Column) -> Column:
     """Positions (from 0) in a sorted array at which a new value starts."""
     return F.when(
@@ -71,13 +69,19 @@ def run_counts(sorted_words: Column, starts: Column) -> Column:
 
 
 def collapse(text: Column, ngrams: Sequence[str]) -> Column:
-    """Replace each listed n-gram, in list order, by itself with underscores for spaces."""
+    """Replace each listed n-gram, in list order, by itself with underscores for spaces.
+
+    Of a long list only those n-grams are replaced that one pass over the text finds. A replacement never makes an
+    n-gram appear that the text, spaces and underscores taken for one sign, did not have.
+    """
     useful = [g for g in ngrams if " " in g]
     if len(useful) <= UNROLL_LIMIT:
         return reduce(lambda acc, g: F.replace(acc, F.lit(g), F.lit(g.replace(" ", "_"))), useful, text)
-    return F.aggregate(
-        F.lit(useful), text, lambda acc, g: F.replace(acc, g, F.replace(g, F.lit(" "), F.lit("_")))
-    )
+    return collapse_found(text, hits(text, useful, spaced))
+
+
+def collapse_found(text: Column, found: Column) -> Column:
+    return F.aggregate(found, text, lambda acc, g: F.replace(acc, g, F.replace(g, F.lit(" "), F.lit("_"))))
 
 
 def quoted(part: str) -> str:
@@ -85,18 +89,25 @@ def quoted(part: str) -> str:
     return "\\Q" + part.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def joining_pattern(ngram: str) -> str:
+    left, right = ngram.split()
+    return rf"(?iU)(?<!{WORD_CHAR})({quoted(left)})\s+({quoted(right)})"
+
+
 def join_parts(text: Column, ngrams: Sequence[str]) -> Column:
     """Rewrite `lhs <spaces> rhs` to `lhs_rhs` for each two-part n-gram, ignoring and keeping case.
 
-    The left part must start at a word boundary; the right part may be the start of a longer word.
+    The left part must start at a word boundary; the right part may be the start of a longer word. Of a long list only
+    the n-grams that one pass finds, whatever their case and spaces, are looked for by their expression.
     """
-    patterns = []
-    for ngram in ngrams:
-        left, right = ngram.split()
-        patterns.append(rf"(?iU)(?<!{WORD_CHAR})({quoted(left)})\s+({quoted(right)})")
+    patterns = [joining_pattern(g) for g in ngrams]
     if len(patterns) <= UNROLL_LIMIT:
         return reduce(lambda acc, p: F.regexp_replace(acc, p, "$1_$2"), patterns, text)
-    return F.aggregate(F.lit(patterns), text, lambda acc, p: F.regexp_replace(acc, p, F.lit("$1_$2")))
+    return join_found(text, hits(text, [" ".join(g.split()) for g in ngrams], folded, patterns))
+
+
+def join_found(text: Column, patterns: Column) -> Column:
+    return F.aggregate(patterns, text, lambda acc, p: F.regexp_replace(acc, p, F.lit("$1_$2")))
 
 
 def encoder_text(source: str, lowercase: bool) -> Column:

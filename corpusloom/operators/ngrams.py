@@ -8,144 +8,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators.tokens import article_text
+from corpusloom.functions.automaton import AUTOMATON_BYTES, folded_column, hits, spaced_column, windows_found
+from corpusloom.operators.ranking import global_rank
 from corpusloom.options import Options
+from corpusloom.sources.tables import ngram_list
 from corpusloom.staging import staged
 
-INLINE_CANDIDATES = 20_000
-
-
 def ngram_candidates(pairs: DataFrame) -> DataFrame:
     """Both orders of each correlated pair, distinct."""
     both = F.array(F.concat_ws(" ", "token1", "token2"), F.concat_ws(" ", "token2", "token1"))
     return pairs.select(F.explode(both).alias("ngram")).distinct()
 
 
-def _row_key(articles: DataFrame) -> list[str]:
-    return ["batch", "id"] if "batch" in articles.columns else ["id"]
-
-
-ROW = "_row"
+def fits(ngrams: DataFrame) -> bool:
+    """Whether a list is short enough to travel with the tasks."""
+    return ngrams.agg(F.coalesce(F.sum(F.octet_length("ngram")), F.lit(0))).first()[0] <= AUTOMATON_BYTES
 
 
-def _match_inline(texts: DataFrame, key: list[str], ngrams: list[str]) -> DataFrame:
-    """Row by row: an n-gram `a b` occurs where one space-separated piece ends with `a` and the next
-    starts with `b`. The known endings of each piece are found by hash look-up, so the cost grows with
-    the text and not with the number of candidates, and no text is shuffled."""
-    if not ngrams:
-        return texts.select(*key, F.lit("").alias("ngram")).filter(F.lit(False))
-    lefts = sorted({g.split(" ")[0] for g in ngrams})
-    rights = sorted({g.split(" ")[1] for g in ngrams})
-    none = F.array().cast("array<string>")
-    # zip_with takes both arrays as arguments, so each is computed once per article
-    found = F.flatten(
-        F.zip_with(
-            "ends",
-            F.slice("starts", F.lit(2), F.greatest(F.size("starts"), F.lit(1))),
-            lambda left, right: F.when(
-                (F.size(left) > 0) & (F.size(right) > 0),
-                F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.concat(a, F.lit(" "), b)))),
-            ).otherwise(none),
-        )
-    )
-    return (
-        texts.select(*key, F.split("text", " ").alias("pieces"))
-        .select(
-            *key,
-            X.endings_in("pieces", lefts, at_end=True).alias("ends"),
-            X.endings_in("pieces", rights, at_end=False).alias("starts"),
-        )
-        .select(*key, found.alias("found"))
-        .select(*key, F.array_distinct(F.expr(f"filter(found, g -> g IN ({X.sql_list(ngrams)}))")).alias("found"))
-        .select(*key, F.explode_outer("found").alias("ngram"))
-        .filter("ngram is not null")
-    )
-
-
-def _match_joined(texts: DataFrame, key: list[str], candidates: DataFrame) -> DataFrame:
-    """The same rule as equi-joins, for any number of parts and candidates.
-
-    Neighbouring pieces are expanded to the endings and beginnings whose lengths occur among the
-    parts, in one pass over the text; the left ones must survive a semi-join before the right ones
-    are expanded.
-    """
-    parts = candidates.select(
-        "ngram",
-        F.split_part("ngram", F.lit(" "), F.lit(1)).alias("a"),
-        F.split_part("ngram", F.lit(" "), F.lit(2)).alias("b"),
-    )
-    # as many values as there are different token lengths
-    lengths = parts.agg(F.collect_set(F.length("a")).alias("a"), F.collect_set(F.length("b")).alias("b")).first()
-
-    def cuts(piece: str, wanted: list[int], at_end: bool):
-        known = F.filter(F.array(*(F.lit(n) for n in sorted(wanted))), lambda n: n <= F.length(piece))
-        return F.transform(known, lambda n: F.substr(piece, F.length(piece) - n + 1 if at_end else F.lit(1), n))
-
-    if not lengths.a:
-        return texts.select(*key, F.lit("").alias("ngram")).filter(F.lit(False))
-    pieces = F.col("pieces")
-    last = F.greatest(F.size(pieces) - 1, F.lit(0))
-    # as strings, which unlike structs are told apart by hash; pieces have no spaces inside
-    neighbours = F.array_distinct(
-        F.zip_with(
-            F.slice(pieces, F.lit(1), last),
-            F.slice(pieces, F.lit(2), last),
-            lambda left, right: F.concat(left, F.lit(" "), right),
-        )
-    )
-    pairs = (
-        texts.select(*key, F.split("text", " ").alias("pieces"))
-        .select(*key, neighbours.alias("pairs"))
-        .select(*key, F.explode_outer("pairs").alias("pair"))
-        .filter("pair is not null")
-        .select(*key, F.substring_index("pair", " ", 1).alias("l"), F.substring_index("pair", " ", -1).alias("r"))
-    )
-    left = pairs.select(*key, "r", F.explode_outer(cuts("l", lengths.a, True)).alias("a")).filter("a is not null")
-    left = left.join(parts.select("a").distinct(), "a", "left_semi")
-    both = left.select(*key, "a", F.explode_outer(cuts("r", lengths.b, False)).alias("b")).filter("b is not null")
-    return both.join(parts, ["a", "b"]).select(*key, "ngram").distinct()
+def _row_key(articles: DataFrame) -> list[str]:
+    return ["batch", "id"] if "batch" in articles.columns else ["id"]
 
 
 def match_ngrams(texts: DataFrame, candidates: DataFrame, strategy: str = "auto") -> DataFrame:
     """(id, ngram), with the batch where there is one: one row for each row of `texts` whose `text` contains the n-gram.
 
-    Rows with the same id stay rows of their own. `inline` looks parts up in hash sets in the plan, `equi`
-    joins, `loop` tests every article against every candidate; all give the same rows. `auto` counts the candidates
-    and takes `inline` up to a fixed size, `equi` beyond it. Candidates of more than two parts are found by their
-    first two and then tested whole; only those of one part, which no neighbours can be looked up for, are looped over.
+    Rows with the same id stay rows of their own. `inline` finds all candidates in one pass of an automaton over each text,
+    without a shuffle; `equi` hashes the windows of the text, filters them and joins what is left; `loop` tests every
+    article against every candidate. All give the same rows, for candidates of any number of parts. `auto` sums the bytes of the
+    candidates and takes `inline` up to a fixed size, `equi` beyond it.
     """
-    key = [*_row_key(texts), ROW]
-    numbered = texts.withColumn(ROW, F.monotonically_increasing_id())
-    wanted = candidates.select("ngram").distinct()
-
-    def loop(some: DataFrame) -> DataFrame:
-        return numbered.select(*key, "text").join(some, F.contains("text", "ngram")).select(*key, "ngram")
-
+    key = _row_key(texts)
+    wanted = candidates.select("ngram").where("ngram IS NOT NULL").distinct()
     if strategy == "loop":
-        return loop(wanted).drop(ROW)
-    parts = F.when(F.col("ngram").rlike("^[^ ]+ [^ ]+$"), 2).when(F.col("ngram").rlike("^[^ ]+ [^ ]+ "), 3).otherwise(1)
-    sized = wanted.withColumn("parts", parts)
-    size = sized.agg(
-        F.count("*").alias("rows"), F.count_if(F.col("parts") == 3).alias("longer"), F.count_if(F.col("parts") == 1).alias("single")
-    ).first()
+        return texts.select(*key, "text").join(wanted, F.contains("text", "ngram")).select(*key, "ngram")
     if strategy == "auto":
-        strategy = "inline" if size.rows <= INLINE_CANDIDATES else "equi"
-
-    def paired(some: DataFrame) -> DataFrame:
-        if strategy == "equi":
-            return _match_joined(numbered, key, some)
-        return _match_inline(numbered, key, [row.ngram for row in some.collect()])
-
-    found = paired(sized.filter("parts = 2").select("ngram"))
-    if size.longer:
-        head = F.concat_ws(" ", F.split_part("ngram", F.lit(" "), F.lit(1)), F.split_part("ngram", F.lit(" "), F.lit(2)))
-        several = sized.filter("parts = 3").select("ngram", head.alias("head"))
-        heads = paired(several.select(F.col("head").alias("ngram")).distinct()).withColumnRenamed("ngram", "head")
-        near = heads.join(several, "head").join(numbered.select(ROW, "text"), ROW)
-        found = found.unionByName(near.filter(F.contains("text", "ngram")).select(*key, "ngram"))
-    if size.single:
-        found = found.unionByName(loop(sized.filter("parts = 1").select("ngram")))
-    return found.drop(ROW)
+        strategy = "inline" if fits(wanted) else "equi"
+    if strategy == "equi":
+        return windows_found(texts, key, wanted)
+    listed = [row.ngram for row in wanted.collect()]
+    found = texts.select(*key, hits(F.col("text"), listed).alias("found"))
+    return found.select(*key, F.explode("found").alias("ngram"))
 
 
 def ngram_document_frequency(texts: DataFrame, candidates: DataFrame, strategy: str = "auto") -> DataFrame:
@@ -159,7 +61,7 @@ def detect_ngrams(
 ) -> DataFrame:
     """Document frequency of every candidate that the correlated pairs suggest."""
     candidates = staged(ngram_candidates(pairs), "candidates")
-    return ngram_document_frequency(article_text(articles, opts.text_source), candidates, strategy)
+    return ngram_document_frequency(X.with_text(articles, opts.text_source), candidates, strategy)
 
 
 def sum_ngrams(counts: DataFrame) -> DataFrame:
@@ -200,6 +102,43 @@ def by_frequency(counts: DataFrame) -> DataFrame:
 
 
 def replace_ngrams(articles: DataFrame, counts: DataFrame, min_freq: int = 100) -> DataFrame:
-    """Articles with the parts of frequent n-grams joined by underscores, in title and abstract."""
-    listed = [row.ngram for row in by_frequency(frequent_ngrams(counts, min_freq)).select("ngram").collect()]
-    return articles.withColumns({c: X.join_parts(F.col(c), listed) for c in ("title", "abstract")})
+    """Articles with the parts of frequent n-grams joined by underscores, in title and abstract.
+
+    N-grams of two parts are joined, as their expression has one gap.
+    """
+    frequent = frequent_ngrams(counts, min_freq).select("ngram", "freq")
+    if fits(frequent):
+        listed = [row.ngram for row in by_frequency(frequent).select("ngram").collect()]
+        return articles.withColumns({c: X.join_parts(F.col(c), listed) for c in ("title", "abstract")})
+    ranked = global_rank(frequent, [F.col("freq").desc(), F.col("ngram")], "pos")
+    pattern = F.udf(lambda ngram: X.joining_pattern(ngram), "string")
+    for c in ("title", "abstract"):
+        articles = with_found(articles, c, ranked.withColumn("value", pattern("ngram")), folded_column)
+        articles = articles.withColumn(c, F.when(F.col(c).isNotNull(), X.join_found(F.col(c), F.col("_found")))).drop("_found")
+    return articles
+
+
+def collapse_ngrams(texts: DataFrame, ngrams: DataFrame | Sequence[str], text: str = "text") -> DataFrame:
+    """Join the parts of listed n-grams in the text column with underscores, in list order.
+
+    A table (pos, ngram) of any size: one that fits travels with the tasks, a longer one is looked up by `windows_found`.
+    """
+    if not isinstance(ngrams, DataFrame) or fits(ngrams):
+        return texts.withColumn(text, X.collapse(F.col(text), ngram_list(ngrams)))
+    useful = ngrams.where(F.contains("ngram", F.lit(" "))).select("pos", "ngram", F.col("ngram").alias("value"))
+    found = with_found(texts, text, useful, spaced_column)
+    return found.withColumn(text, X.collapse_found(F.col(text), F.col("_found"))).drop("_found")
+
+
+def with_found(rows: DataFrame, column: str, listed: DataFrame, same) -> DataFrame:
+    """Adds `_found`, the values of the listed (pos, ngram, value) that the column contains, in list order.
+
+    Rows are numbered and written once, so that what is found comes back to them.
+    """
+    numbered = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    strings = listed.select("pos", "value", same("ngram").alias("_same"))
+    texts = numbered.select("_row", same(column).alias("text"))
+    met = windows_found(texts, ["_row"], strings, column="_same").join(strings, "_same")
+    per_row = met.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_found"))
+    none = F.array().cast("array<string>")
+    return numbered.join(per_row, "_row", "left").withColumn("_found", F.coalesce("_found.value", none)).drop("_row")

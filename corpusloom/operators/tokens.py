@@ -9,15 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators.ngrams import collapse_ngrams
 from corpusloom.operators.stopwords import word_list
 from corpusloom.options import Options
-from corpusloom.sources.tables import ngram_list
 
 
-def article_text(articles: DataFrame, source: str = "both", lowercase: bool = True) -> DataFrame:
-    """Adds `text`: title, abstract or both, nulls as empty, lower case for tokens."""
-    text = X.source_text(source)
-    return articles.withColumn("text", F.lower(text) if lowercase else text)
+article_text = X.with_text
 
 
 def fill_text(articles: DataFrame) -> DataFrame:
@@ -41,11 +38,6 @@ def sentences(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.posexplode(X.sentences(F.col("text"))).alias("sent", "sentence"))
 
 
-def collapse_ngrams(texts: DataFrame, ngrams: DataFrame | Sequence[str]) -> DataFrame:
-    """Join the parts of listed n-grams in `text` with underscores, in list order."""
-    return texts.withColumn("text", X.collapse(F.col("text"), ngram_list(ngrams)))
-
-
 def tokens(texts: DataFrame) -> DataFrame:
     """One row (id, token) per token occurrence in `text`.
 
@@ -83,8 +75,8 @@ def term_frequency(counts: DataFrame) -> DataFrame:
 
 def kept_words(articles: DataFrame, ngrams, stop, opts: Options, keep: Sequence[str] = ()) -> DataFrame:
     """(id, words): the sorted kept tokens of each article, one row per article."""
-    text = X.collapse(F.lower(X.source_text(opts.text_source)), ngram_list(ngrams))
-    words = articles.select(cast_id(opts), *keep, X.words(text, opts.min_length).alias("words"))
+    texts = articles.select(cast_id(opts), *keep, F.lower(X.source_text(opts.text_source)).alias("text"))
+    words = collapse_ngrams(texts, ngrams).select("id", *keep, X.words(F.col("text"), opts.min_length).alias("words"))
     return words.withColumn("words", F.sort_array(X.without("words", word_list(stop))))
 
 

@@ -53,6 +53,84 @@ def test_three_part_candidates_fall_back(spark):
     assert sorted((r.id, r.ngram) for r in found.collect()) == [(0, "a b c"), (0, "b c"), (1, "b c")]
 
 
+def test_strategies_agree_on_repeated_ids_and_odd_candidates(spark):
+    """Candidates of one to four parts, with outer and double spaces, on rows whose ids repeat, with small adaptive partitions."""
+    texts = tokens.article_text(read_documents(spark, DATA)).select((F.col("id") % 40).alias("id"), "batch", "text")
+    texts = texts.union(spark.createDataFrame([(1, "0001", None), (1, "0001", ""), (1, "0001", "é  é ßé")], "id long, batch string, text string"))
+    grams = ["of the", "der die", "e", "die das", " die", "é  é", "der die das", "n der die d", "thanea", "qqq", "", "é", "ßé"]
+    words = [w for r in texts.select("text").limit(40).collect() for w in [(r.text or "").split(" ")]]
+    grams += sorted({" ".join(w[k : k + n]) for w in words for n in (1, 2, 3, 4) for k in range(0, len(w) - n, 60)})[:400]
+    candidates = spark.createDataFrame([(g,) for g in grams] + [(None,)], "ngram string")
+    want = sorted((r.id, r.batch, g) for r in texts.collect() for g in set(grams) if r.text is not None and g in r.text)
+    assert len(want) > 3000
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for strategy in ("inline", "equi", "loop", "auto"):
+            got = ngrams.match_ngrams(texts.repartition(7), candidates, strategy).collect()
+            assert sorted((r.id, r.batch, r.ngram) for r in got) == want, strategy
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert ngrams.match_ngrams(texts, candidates.limit(0), "equi").isEmpty()
+    assert ngrams.match_ngrams(texts.limit(0), candidates, "equi").isEmpty()
+
+
+def long_list(texts, n=2000):
+    """Real neighbours of the texts, some of them overlapping, some with underscores, some that never occur."""
+    found = []
+    for t in texts:
+        pieces = t.split()
+        found += [f"{a} {b}" for a, b in zip(pieces[::7], pieces[1::7])] + [" ".join(pieces[k : k + 3]) for k in range(0, len(pieces) - 3, 31)]
+    listed = list(dict.fromkeys(found))[: n - 4]
+    return [*listed[: n // 2], "of_the x", "qq rr", *listed[n // 2 :], "", "die"]
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_long_lists_equal_the_plain_fold(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(ngrams, "AUTOMATON_BYTES", limit)
+    df = tokens.article_text(read_documents(spark, DATA)).select("id", "text")
+    df = df.union(spark.createDataFrame([(-1, None), (-1, "a of_the x of the x"), (-1, "")], "id long, text string"))
+    rows = df.collect()
+    listed = long_list([r.text for r in rows if r.text])
+    assert len(listed) == 2000
+
+    def fold(text):
+        for g in listed:
+            if text is not None and " " in g:
+                text = text.replace(g, g.replace(" ", "_"))
+        return text
+
+    table = spark.createDataFrame(list(enumerate(listed)), "pos int, ngram string")
+    got = tokens.collapse_ngrams(df, listed if limit is None else table).collect()
+    assert sorted((r.id, r.text or "") for r in got) == sorted((r.id, fold(r.text) or "") for r in rows)
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_long_lists_are_joined_as_short_ones(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(ngrams, "AUTOMATON_BYTES", limit)
+    df = read_documents(spark, DATA).select("id", "title", "abstract")
+    odd = [(-1, "GENE\u2003mapping İd Ås ΣΑΣ ſet", None), (-1, "gene_map of gene\tMAPs ıd ås σας SET", "Kelvin  ßa ẞA"), (-2, "", "_gene map x")]
+    df = df.union(spark.createDataFrame(odd, "id long, title string, abstract string"))
+    pieces = [t.abstract.split() for t in df.collect() if t.abstract]
+    grams = sorted({f"{a} {b}" for p in pieces for a, b in zip(p[::23], p[1::23])})[:300]
+    grams += ["gene map", "İd ås", "id ås", "σας set", "ΣΑΣ SET", "kelvin ßa", "_gene map", "map_of gene", "ås σας"]
+    counts = spark.createDataFrame([(g, 10 + k % 5) for k, g in enumerate(grams)], "ngram string, freq bigint")
+    in_order = [r.ngram for r in ngrams.by_frequency(counts).collect()]
+    got = ngrams.replace_ngrams(df, counts, 1)
+    plain = df
+    for start in range(0, len(in_order), X.UNROLL_LIMIT):  # short lists one after the other
+        plain = plain.withColumns({c: X.join_parts(F.col(c), in_order[start : start + X.UNROLL_LIMIT]) for c in ("title", "abstract")})
+    order = ["id", "title", "abstract"]
+    key = lambda r: tuple(str(v) for v in r)
+    want = sorted((tuple(r) for r in plain.select(*order).collect()), key=key)
+    assert sorted((tuple(r) for r in got.select(*order).collect()), key=key) == want
+    assert sum("_" in (r[2] or "") for r in want) > 100
+
+
 def test_document_frequency_keeps_zeros(spark):
     candidates = spark.createDataFrame([("a b",), ("x y",)], "ngram string")
     found = ngrams.ngram_document_frequency(texts_of(spark, "a b a b", "a b"), candidates)
