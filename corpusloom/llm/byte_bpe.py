@@ -1,13 +1,14 @@
 """Byte-level BPE of whole texts: each distinct word of the corpus is encoded once and joined back by position.
 
 Texts are split into pre-tokens by the tokenizer's pattern. The documents of a task are taken together in chunks of
-about `CHUNK_BYTES`; a chunk is written once, as the list of its distinct words and the sequence of their numbers, which is
-each word's position. One shuffle brings equal words of all chunks together, where each is encoded once; a
-join gives every chunk the ids of its words, and the sequence puts them in order. So what is shuffled are the distinct words of
-chunks, never single occurrences, and a word that stands in every document is one row per chunk.
+about `CHUNK_BYTES`; a chunk is written once, as its distinct words, dealt to `buckets` lists by a checksum, and the sequence of
+their numbers, which is each word's position. One shuffle brings the lists of a bucket together, so that all copies of a word meet where it
+is encoded, once; a second one takes the ids of each list back to its chunk, where the sequence puts them in
+order. What is shuffled are the distinct words of chunks, never single occurrences; a word that stands in every document is one entry
+per chunk. The sequences are the bulk and are not shuffled: their table is bucketed by chunk.
 
 Decoding joins ids with the table of token bytes. A table of at most `BROADCAST_TOKENS` tokens is broadcast,
-after they are counted; a larger one is joined like the words, through the distinct ids of chunks.
+after they are counted; with a larger one single ids are joined and put back by position.
 
 Null and empty texts have no ids. Repeated rows and null ids are texts of their own, as chunks keep rows and not keys. A text
 larger than a chunk is a chunk of its own. Extra columns are ignored. An empty table gives no rows.
@@ -19,6 +20,8 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from uuid import uuid4
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import batches_of, staged
+from corpusloom.staging import stage_path
 
 CHUNK_BYTES = 8 << 20
+#: lists of words that a chunk has at least
+MIN_BUCKETS = 64
+#: words whose ids a task remembers
+REMEMBERED = 1_000_000
 #: tokens up to which their table is broadcast; the longest token bounds its bytes
 BROADCAST_TOKENS = 1_000_000
 #: characters from which the words of a text are taken one by one instead of as one list
@@ -75,38 +83,81 @@ class _Numbers(dict):
         return n
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], words, symbol_type: pa.DataType, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, content) as chunks: keys, sizes, and the numbers of the symbols that `words` finds in each content."""
-    base, made = TaskContext.get().partitionId() << 32, 0
-    kind = None
-    known, codes, keys, sizes, held = _Numbers(), array("I"), [], [], 0
-
-    def out() -> pa.RecordBatch:
-        data = np.frombuffer(codes, dtype=np.uint32)
-        data = data.astype("<u2" if len(known) <= 1 << 16 else "<u4").tobytes()
-        columns = [
-            pa.array([base + made]),
-            pa.array([keys], pa.list_(kind)),
-            pa.array([sizes], pa.list_(pa.int32())),
-            pa.array([data], pa.binary()),
-            pa.array([list(known)], pa.list_(symbol_type)),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["chunk", "keys", "sizes", "codes", "symbols"])
-
-    for batch in batches:
-        kind = batch.column(0).type
-        for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            before = len(codes)
-            codes.extend(map(known.__getitem__, words(content)))
-            keys.append(key)
-            sizes.append(len(codes) - before)
-            held += len(content)
-            if held >= limit:
-                yield out()
-                known, codes, keys, sizes, held = _Numbers(), array("I"), [], [], 0
-                made += 1
-    if keys:
-        yield out()
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 by their lowest, second, ... bytes, compressed."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(numbers).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], 4 * n, "zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
+def packed_strings(strings: list[bytes]) -> bytes:
+    sizes, data = packed(np.array([len(s) for s in strings], dtype=np.uint32)), b"".join(strings)
+    return len(sizes).to_bytes(4, "little") + sizes + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked_strings(data: bytes) -> tuple[np.ndarray, bytes]:
+    """Sizes, and the bytes of all strings."""
+    n = int.from_bytes(data[:4], "little")
+    sizes = unpacked(data[4 : 4 + n])
+    return sizes, pa.decompress(data[4 + n :], int(sizes.sum(dtype=np.int64)), "zstd", asbytes=True)
+
+
+def _chunks(words, limit: int, buckets: int):
+    """Rows (key, content) as chunks: keys, numbers of words, the sequence of word numbers, and the words.
+
+    Words are numbered from the most frequent on; `place` is a word's place in the lists, which are sorted.
+    """
+    names = ["chunk", "keys", "sizes", "codes", "place", "lists"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, made, kind = TaskContext.get().partitionId() << 32, 0, None
+        known, codes, keys, sizes, held = _Numbers(), array("I"), [], [], 0
+
+        def out() -> pa.RecordBatch:
+            data = np.frombuffer(codes, dtype=np.uint32)
+            by_use = np.argsort(-np.bincount(data, minlength=len(known)), kind="stable")
+            number = np.empty(len(known), dtype=np.int64)
+            number[by_use] = np.arange(len(known))
+            strings = [w.encode() for w in known]
+            lists: list[list] = [[] for _ in range(buckets)]
+            for k, w in enumerate(strings):
+                lists[crc32(w) % buckets].append((w, k))
+            for own in lists:
+                own.sort()
+            order = np.fromiter((k for own in lists for _, k in own), dtype=np.int64, count=len(known))
+            place = np.empty(len(known), dtype=np.int64)
+            place[number[order]] = np.arange(len(known))
+            columns = [
+                pa.array([base + made]),
+                pa.array([keys], pa.list_(kind)),
+                pa.array([packed(np.array(sizes, dtype=np.uint32))], pa.binary()),
+                pa.array([packed(number[data])], pa.binary()),
+                pa.array([packed(place)], pa.binary()),
+                pa.array([[packed_strings([w for w, _ in own]) for own in lists]], pa.list_(pa.binary())),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                before = len(codes)
+                codes.extend(map(known.__getitem__, words(content)))
+                keys.append(key)
+                sizes.append(len(codes) - before)
+                held += len(content)
+                if held >= limit:
+                    yield out()
+                    known, codes, keys, sizes, held = _Numbers(), array("I"), [], [], 0
+                    made += 1
+        if keys:
+            yield out()
+
+    return run
 
 
 def _ragged(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -130,60 +181,82 @@ def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _reassemble(key: str, value: str, width: int):
-    """One chunk and the values of its symbols to a row per key."""
+def _encoded(path: str, pattern: str):
+    """The lists of words of a bucket as lists of ids; a word is encoded when it is met first."""
 
-    def run(chunk: pa.Table, values: pa.Table) -> pa.Table:
-        symbols = values.num_rows
-        codes = np.frombuffer(chunk.column("codes")[0].as_py(), dtype="<u2" if chunk.column("n_symbols")[0].as_py() <= 1 << 16 else "<u4")
-        data, starts, lengths = _stretches(values.column("value").combine_chunks() if symbols else pa.array([], pa.binary()), width)
-        order = np.empty(symbols, dtype=np.int64)
-        order[values.column("code").to_numpy()] = np.arange(symbols)
-        at = order[codes]
-        keys = chunk.column("keys").combine_chunks().flatten()
-        sizes = chunk.column("sizes").combine_chunks().flatten().to_numpy()
-        passed = np.concatenate([[0], np.cumsum(lengths[at])])
-        ends = np.cumsum(sizes)
-        return pa.table({key: keys, value: _binary(_ragged(data, starts[at], lengths[at]), passed[ends] - passed[ends - sizes])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merge = _merges(path, pattern)
+        known: dict[bytes, bytes] = {}
+        for batch in batches:
+            out = []
+            for data in batch.column(2).to_pylist():
+                if len(known) > REMEMBERED:
+                    known.clear()
+                sizes, whole = unpacked_strings(data)
+                ids, at = [], 0
+                for n in sizes.tolist():
+                    word = whole[at : at + n]
+                    at += n
+                    own = known.get(word)
+                    if own is None:
+                        own = known[word] = array("I", merge(word)).tobytes()
+                    ids.append(own)
+                flat = np.frombuffer(b"".join(ids), dtype="<u4")
+                lengths = packed(np.array([len(i) >> 2 for i in ids], dtype=np.uint32))
+                out.append(len(lengths).to_bytes(4, "little") + lengths + packed(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["of", "bucket", "ids"])
 
     return run
 
 
-def _look_up(rows: DataFrame, words, symbol: str, table_of, key: str, value: str, width: int) -> DataFrame:
-    """(key, value): the content of each row (key, content) with its symbols replaced by their values.
+def _reassemble(key: str):
+    """One chunk and the ids of its lists to a row per key."""
 
-    `table_of` takes the distinct (symbol) of all chunks and gives (symbol, value).
-    """
-    kind = rows.schema[key].dataType.simpleString()
-    arrow, limit = {"string": pa.string(), "int": pa.int32()}[symbol], CHUNK_BYTES
+    def run(chunk: pa.Table, lists: pa.Table) -> pa.Table:
+        codes, place, sizes = (unpacked(chunk.column(c)[0].as_py()) for c in ("codes", "place", "sizes"))
+        lengths, ids = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.uint32)]
+        for data in lists.sort_by("bucket").column("ids").to_pylist():
+            n = int.from_bytes(data[:4], "little")
+            lengths.append(unpacked(data[4 : 4 + n]))
+            ids.append(unpacked(data[4 + n :]))
+        lengths, ids = np.concatenate(lengths).astype(np.int64), np.concatenate(ids)
+        starts = np.cumsum(lengths) - lengths
+        at = place[codes]
+        passed = np.concatenate([[0], np.cumsum(lengths[at])])
+        ends = np.cumsum(sizes, dtype=np.int64)
+        keys = chunk.column("keys").combine_chunks().flatten()
+        return pa.table({key: keys, "ids": _binary(_ragged(ids, starts[at], lengths[at]), passed[ends] - passed[ends - sizes])})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _chunks(batches, words, arrow, limit)
+    return run
 
-    chunks = staged(rows.mapInArrow(run, f"chunk long, keys array<{kind}>, sizes array<int>, codes binary, symbols array<{symbol}>"), "chunks")
-    symbols = chunks.select("chunk", F.posexplode("symbols").alias("code", "symbol"))
-    values = symbols.join(table_of(symbols.select("symbol").distinct()), "symbol").select(F.col("chunk").alias("of"), "code", "value")
-    bare = chunks.select("chunk", "keys", "sizes", "codes", F.size("symbols").alias("n_symbols"))
-    return bare.groupBy("chunk").cogroup(values.groupBy("of")).applyInArrow(_reassemble(key, value, width), f"`{key}` {kind}, {value} binary")
+
+def bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
+    """Write `df` once in the stage folder, bucketed by a column, so that joins on it need not shuffle it."""
+    spark = df.sparkSession
+    name = f"corpusloom_{uuid4().hex}"
+    df.write.bucketBy(buckets, by).option("path", stage_path(spark, name)).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids) of every whole text, ids as little-endian unsigned 32-bit numbers."""
+    spark = docs.sparkSession
     path, pattern = path or tokenizer_path(), pattern or split_pattern()
-    batches_of(docs.sparkSession)
+    batches_of(spark)
+    kind = docs.schema[key].dataType.simpleString()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def words(content: str):
         find = _splitter(pattern)
         return find.findall(content) if len(content) < LONG_TEXT else (m.group() for m in find.finditer(content))
 
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge = _merges(path, pattern)
-        for batch in batches:
-            values = [array("I", merge(w.encode())).tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["symbol", "value"])
-
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("content"))
-    return _look_up(rows, words, "string", lambda distinct: distinct.mapInArrow(ids, "symbol string, value binary"), key, "ids", 4)
+    schema = f"chunk long, keys array<{kind}>, sizes binary, codes binary, place binary, lists array<binary>"
+    chunks = bucketed(rows.mapInArrow(_chunks(words, CHUNK_BYTES, max(MIN_BUCKETS, parts)), schema), "chunk", parts)
+    lists = chunks.select("chunk", F.posexplode("lists").alias("bucket", "words")).repartition("bucket").sortWithinPartitions("bucket")
+    ids = lists.select(F.col("chunk").alias("of"), "bucket", "words").mapInArrow(_encoded(path, pattern), "of long, bucket int, ids binary")
+    bare = chunks.select("chunk", "keys", "sizes", "codes", "place")
+    return bare.groupBy("chunk").cogroup(ids.groupBy("of")).applyInArrow(_reassemble(key), f"`{key}` {kind}, ids binary")
 
 
 def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -196,16 +269,7 @@ def decode(ids: DataFrame, tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, ids, decoded): the bytes of every row's ids. An id that the table (id, token) lacks is an error."""
     kind = ids.schema[key].dataType.simpleString()
     if tokens.count() > BROADCAST_TOKENS:
-
-        def numbers(content: bytes):
-            return np.frombuffer(content, dtype="<u4").tolist()
-
-        def known(distinct: DataFrame) -> DataFrame:
-            found = distinct.join(tokens.select(F.col("id").alias("symbol"), F.col("token").alias("value")), "symbol", "left")
-            return found.withColumn("value", F.coalesce("value", F.raise_error(F.concat(F.lit("no bytes for id "), F.col("symbol").cast("string"))).cast("binary")))
-
-        pairs = ids.select(F.struct(key, "ids").alias("row"), F.coalesce("ids", F.lit(b"")).alias("content"))
-        return _look_up(pairs, numbers, "int", known, "row", "decoded", 1).select(f"row.{key}", "row.ids", "decoded")
+        return _decode_joined(ids, tokens, key)
     table = tokens.select("id", "token").toArrow()
     at = table.column("id").to_numpy()
     data, starts, sizes = _stretches(table.column("token").combine_chunks(), 1)
@@ -227,3 +291,20 @@ def decode(ids: DataFrame, tokens: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), decoded], [key, "ids", "decoded"])
 
     return ids.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, ids binary, decoded binary")
+
+
+def _decode_joined(ids: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
+    """The same by a join of single ids with a table of any size; rows are numbered and written once."""
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = [np.frombuffer(i or b"", dtype="<u4").astype(np.int64) for i in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.list_(pa.int64()))], ["row", "numbers"])
+
+    rows = staged(ids.select(key, "ids").withColumn("row", F.monotonically_increasing_id()), "rows")
+    single = rows.select("row", "ids").mapInArrow(numbers, "row long, numbers array<long>").select("row", F.posexplode("numbers").alias("at", "id"))
+    found = single.join(tokens.select(F.col("id").cast("long").alias("id"), "token"), "id", "left")
+    token = F.coalesce("token", F.raise_error(F.concat(F.lit("no bytes for id "), F.col("id").cast("string"))).cast("binary"))
+    in_order = F.sort_array(F.collect_list(F.struct("at", token.alias("token"))))
+    whole = found.groupBy("row").agg(F.aggregate(in_order, F.lit(b""), lambda s, x: F.concat(s, x["token"])).alias("decoded"))
+    return rows.join(whole, "row", "left").select(key, "ids", F.coalesce("decoded", F.lit(b"")).alias("decoded"))
