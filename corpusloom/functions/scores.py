@@ -33,3 +33,13 @@ def phi(n: Column, both: Column, count1: Column, count2: Column) -> Column:
     """Pearson correlation of two presence columns over `n` articles; null when one is constant."""
     n, both, a, b = (c.cast("double") for c in (n, both, count1, count2))
     return F.try_divide(n * both - a * b, F.sqrt(a * (n - a)) * F.sqrt(b * (n - b)))
+
+
+def exact_sum(share: Column) -> Column:
+    """Sum of numbers from 0 to 1 in units of 2^-60, the same whatever the order of the rows.
+
+    The first 30 and the next 30 binary digits are summed as integers, which has room for 8 billion rows.
+    """
+    high = F.floor(share * float(1 << 30))
+    low = F.floor((share * float(1 << 30) - high) * float(1 << 30))
+    return F.sum(high) / float(1 << 30) + F.sum(low) / float(1 << 60)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scores import phi
-from corpusloom.operators.ranking import sample_articles
+from corpusloom.operators.ranking import index_tokens, sample_articles
 from corpusloom.options import Options
 from corpusloom.staging import staged
 
@@ -18,6 +18,7 @@ PAIR_SCHEMA = "token1 string, token2 string, k bigint"
 BLOCK_ARTICLES = 4096
 BLOCK_TOKENS = 1024
 BLOCK_CELLS = 1 << 25
+TILE_TOKENS = 1024
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -34,14 +35,18 @@ def semi_join_articles(article_stats: DataFrame, sample: DataFrame) -> DataFrame
     return article_stats.select("id", "token").join(sample.select("id"), "id", "left_semi").select("id", "token")
 
 
-def presence(article_stats: DataFrame, targets: DataFrame, wide: bool = False) -> DataFrame:
-    """Distinct (id, token) of the target tokens; `wide` gives one boolean column per target."""
+def presence(article_stats: DataFrame, targets: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Distinct (id, token) of the target tokens; one boolean column per token for those a caller lists as `columns`."""
     long = semi_join_tokens(article_stats, targets).distinct()
-    if not wide:
+    if columns is None:
         return long
-    columns = [row.token for row in targets.select("token").orderBy("token").collect()]
-    pivoted = long.groupBy("id").pivot("token", columns).agg(F.lit(True))
-    return pivoted.fillna(False)
+    return long.groupBy("id").pivot("token", list(columns)).agg(F.lit(True)).fillna(False)
+
+
+def presence_codes(presence_: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(id, codes): a row's tokens as rising codes of the dictionary (token, code), the sparse form of the wide table for any number of tokens."""
+    coded = presence_.join(dictionary.select("token", "code"), "token")
+    return coded.groupBy("id").agg(F.sort_array(F.collect_set("code")).alias("codes"))
 
 
 def token_cooccurrence(article_stats: DataFrame, token_stats: DataFrame, opts: Options = Options()) -> DataFrame:
@@ -113,6 +118,18 @@ def token_pairs(presence_: DataFrame) -> DataFrame:
     return partial.groupBy("token1", "token2").agg(F.sum("k").alias("k"))
 
 
+def all_token_pairs(counts: DataFrame) -> DataFrame:
+    """(token1, token2) with token1 < token2 of all tokens, from triangular tiles over their codes.
+
+    A tile pair is one group of at most `TILE_TOKENS` squared pairs; a token is copied once per tile, never gathered with all others.
+    """
+    coded = staged(index_tokens(counts).withColumn("tile", F.floor(F.col("code") / TILE_TOKENS).cast("int")), "coded-tokens")
+    last = coded.agg(F.coalesce(F.max("tile"), F.lit(0))).first()[0]
+    rows = coded.select(F.col("token").alias("token1"), F.col("code").alias("code1"), F.col("tile").alias("row"), F.explode(F.sequence("tile", F.lit(last))).alias("column"))
+    columns = coded.select(F.col("token").alias("token2"), F.col("code").alias("code2"), F.col("tile").alias("column"), F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("row"))
+    return rows.join(columns, ["row", "column"]).where("code1 < code2").select("token1", "token2")
+
+
 def token_correlations(presence_: DataFrame, all_pairs: bool = False) -> DataFrame:
     """(token1, token2, cor) for token1 < token2, null when a token is in every article.
 
@@ -122,13 +139,7 @@ def token_correlations(presence_: DataFrame, all_pairs: bool = False) -> DataFra
     counts = staged(presence_.groupBy("token").agg(F.count("*").alias("c")), "token-counts")
     pairs = token_pairs(presence_)
     if all_pairs:
-        # the target list is bounded, and its upper triangle is the size of the result
-        tokens = presence_.agg(F.collect_set("token").alias("tokens")).scalar()
-        every = (
-            counts.select(F.col("token").alias("token1"), F.explode(tokens).alias("token2"))
-            .filter("token1 < token2")
-        )
-        pairs = every.join(pairs, ["token1", "token2"], "left").fillna(0, ["k"])
+        pairs = all_token_pairs(counts).join(pairs, ["token1", "token2"], "left").fillna(0, ["k"])
     n_articles = presence_.agg(F.countDistinct("id").alias("n_articles")).scalar()
     first = counts.select(F.col("token").alias("token1"), F.col("c").alias("c1"))
     second = counts.select(F.col("token").alias("token2"), F.col("c").alias("c2"))

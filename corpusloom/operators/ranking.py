@@ -12,7 +12,6 @@ from corpusloom.staging import staged
 
 SKETCH_ACCURACY = 100_000
 HASH_BUCKET_DIGITS = 4
-RANK_DIGITS = 12
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
@@ -38,15 +37,10 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     )
 
 
-def stable(score: str) -> Column:
-    """A score to sort on: without the last digits, which depend on the order of summation."""
-    return F.round(F.col(score).cast("double"), RANK_DIGITS)
-
-
 def rank_by(tokens: DataFrame, score: str) -> DataFrame:
-    """Adds the rank 1..n by falling `score`, ties by token."""
+    """Adds the rank 1..n by falling `score`, ties by token. Scores rest on exact sums, so equal ones are equal."""
     names = {"mean_tfidf": "tfidf_rank", "adj_ridf": "ridf_rank"}
-    order = [stable(score).desc_nulls_last(), F.col("token")]
+    order = [F.col(score).desc_nulls_last(), F.col("token")]
     return global_rank(tokens, order, names.get(score, f"{score}_rank"))
 
 
@@ -56,7 +50,7 @@ def min_rank(tokens: DataFrame) -> DataFrame:
 
 def top_tokens(tokens: DataFrame, score: str, dim: int, ascending: bool = False) -> DataFrame:
     """(rank, token) of the `dim` best tokens; ties go to the smaller token."""
-    key = stable(score)
+    key = F.col(score)
     order = [key.asc_nulls_last() if ascending else key.desc_nulls_last(), F.col("token")]
     top = tokens.select("token", score).orderBy(*order).limit(dim)
     # at most `dim` rows are left here

@@ -73,11 +73,13 @@ def lemmatized_stop_words(stop: DataFrame, lemmas: DataFrame) -> DataFrame:
     return replaced.unionByName(extra).distinct()
 
 
-def word_list(stop: DataFrame | Sequence[str]) -> list[str]:
-    """Stop words as a sorted Python list, for use inside an expression.
+def inline_fits(stop: DataFrame) -> bool:
+    """Whether a table of stop words is short enough for an expression."""
+    return stop.select("word").distinct().count() <= MAX_INLINE_WORDS
 
-    Larger lists than the limit stay tables: `drop_stop_words` joins them.
-    """
+
+def word_list(stop: DataFrame | Sequence[str]) -> list[str]:
+    """Stop words as a sorted Python list, for use inside an expression; longer tables are joined (`article_stats`, `drop_stop_words`)."""
     if not isinstance(stop, DataFrame):
         return sorted(set(stop))
     found = [row.word for row in stop.select("word").distinct().take(MAX_INLINE_WORDS + 1)]

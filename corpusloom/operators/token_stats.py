@@ -15,9 +15,12 @@ def num_articles(article_stats: DataFrame) -> DataFrame:
 
 
 def token_totals(article_stats: DataFrame) -> DataFrame:
-    """(token, n, tf, num_articles) in one aggregate, combined before the shuffle."""
+    """(token, n, tf, num_articles) in one aggregate, combined before the shuffle.
+
+    `tf` is summed without rounding, so that scores and ranks do not depend on how the rows are partitioned.
+    """
     return article_stats.groupBy("token").agg(
-        F.sum("n").alias("n"), F.sum("tf").alias("tf"), F.count("*").alias("num_articles")
+        F.sum("n").alias("n"), S.exact_sum(F.col("tf")).alias("tf"), F.count("*").alias("num_articles")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.ngrams import collapse_ngrams
-from corpusloom.operators.stopwords import word_list
+from corpusloom.operators.stopwords import inline_fits, word_list
 from corpusloom.options import Options
 
 
@@ -95,18 +95,27 @@ def article_stats(
 
     All tokens of an article sit in its own row, so the count is a run length over the sorted word
     array: one narrow pass over the text with no shuffle. `keep` names further article columns, such
-    as the batch, to carry along.
+    as the batch, to carry along. A stop list too long for an expression is joined to the counted tokens instead; the rows
+    of an article then meet again for its total.
     """
-    words = F.col("words")
-    rows = (
-        kept_words(articles, ngrams, stop, opts, keep)
-        .withColumn("starts", X.run_starts(words))
-        .select("id", *keep, F.size(words).alias("num_tokens"), X.run_counts(words, F.col("starts")).alias("runs"))
+    if isinstance(stop, DataFrame) and not inline_fits(stop):
+        counted = _counted_words(kept_words(articles, ngrams, (), opts, keep).withColumn("_row", F.monotonically_increasing_id()), [*keep, "_row"])
+        kept = counted.join(stop.select(F.col("word").alias("token")).distinct(), "token", "left_anti")
+        kept = kept.withColumn("num_tokens", F.sum("n").over(W.partitionBy("_row")))
+    else:
+        kept = _counted_words(kept_words(articles, ngrams, stop, opts, keep), keep)
+    return kept.select("id", "token", "n", (F.col("n") / F.col("num_tokens")).alias("tf"), *keep)
+
+
+def _counted_words(words: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(id, keep, num_tokens, token, n) from the sorted words of each row."""
+    column = F.col("words")
+    return (
+        words.withColumn("starts", X.run_starts(column))
+        .select("id", *keep, F.size(column).alias("num_tokens"), X.run_counts(column, F.col("starts")).alias("runs"))
         .select("id", *keep, "num_tokens", F.explode_outer("runs").alias("run"))
         .filter("run is not null")
-    )
-    return rows.select(
-        "id", F.col("run.token"), F.col("run.n"), (F.col("run.n") / F.col("num_tokens")).alias("tf"), *keep
+        .select("id", *keep, "num_tokens", "run.token", "run.n")
     )
 
 

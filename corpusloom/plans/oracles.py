@@ -95,8 +95,9 @@ PARTS: dict[str, tuple[str, str]] = {
     "used": ("SELECT token, count(*) AS n FROM tokens GROUP BY token", "tokens"),
     "article_stats": (stats_sql("tokens"), "tokens stop"),
     "totals": (
-        """SELECT token, CAST(sum(n) AS BIGINT) AS n, sum(tf) AS tf, count(*) AS num_articles
-        FROM article_stats GROUP BY token""",
+        """SELECT token, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CAST(floor(tf * 1073741824.0::DOUBLE) AS BIGINT)) AS DOUBLE) / 1073741824.0::DOUBLE +
+        CAST(sum(CAST(floor((tf * 1073741824.0::DOUBLE - floor(tf * 1073741824.0::DOUBLE)) * 1073741824.0::DOUBLE) AS BIGINT)) AS DOUBLE)
+        / 1152921504606846976.0::DOUBLE AS tf, count(*) AS num_articles FROM article_stats GROUP BY token""",
         "article_stats"),
     "scored": (
         """SELECT *, ln((1 + na) / (1 + num_articles)) AS idf, tf * ln((1 + na) / (1 + num_articles)) / na AS mean_tfidf,
@@ -133,8 +134,8 @@ PARTS: dict[str, tuple[str, str]] = {
         f"SELECT * FROM token_stats WHERE num_articles BETWEEN 0.01 * {N_DOCS} AND 0.5 * {N_DOCS}", "token_stats"),
     "ranks": (
         """SELECT *, row_number() OVER (ORDER BY n DESC, token) AS n_rank,
-        row_number() OVER (ORDER BY round(mean_tfidf, 12) DESC, token) AS tfidf_rank,
-        row_number() OVER (ORDER BY round(adj_ridf, 12) DESC, token) AS ridf_rank FROM vocab_tokens""", "vocab_tokens"),
+        row_number() OVER (ORDER BY mean_tfidf DESC, token) AS tfidf_rank,
+        row_number() OVER (ORDER BY adj_ridf DESC, token) AS ridf_rank FROM vocab_tokens""", "vocab_tokens"),
     "vocab": (
         """SELECT 'frequency' AS embedding, token, CAST(n_rank AS INTEGER) AS rank FROM ranks WHERE n_rank <= 64
         UNION ALL SELECT 'tfidf', token, tfidf_rank FROM ranks WHERE tfidf_rank <= 64

@@ -286,7 +286,7 @@ def s05_parquet_source(i: Inputs):
 @query
 def s06_ngram_list(i: Inputs):
     titles = i.articles.select(F.lower("title").alias("ngram")).filter(F.contains("ngram", F.lit(" "))).distinct()
-    return tables.read_ngrams(i.spark, i.lines(titles, ["ngram"], one_file=True))
+    return tables.read_ngrams(i.spark, i.lines(titles, ["ngram"]))
 
 
 @query
@@ -602,7 +602,7 @@ def a08_minmax(i: Inputs):
 @query
 def a09_presence_wide(i: Inputs):
     listed = i.spark.createDataFrame([(t,) for t in WIDE_TOKENS], "token string")
-    return cooccurrence.presence(i.article_stats, listed, wide=True)
+    return cooccurrence.presence(i.article_stats, listed, WIDE_TOKENS)
 
 
 @query

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.staging import staged
+
 COUNT_SCHEMA = "article_id {id}, dim int, n bigint, embedding string"
 
 
@@ -22,17 +25,26 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists", by: str |
     writer.parquet(path)
 
 
-def read_ngrams(spark: SparkSession, path: str) -> DataFrame:
-    """The n-gram list file as (pos, ngram) in file order, without empty lines.
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, value): the lines of a text file, or of the files of a folder in the order of their names, numbered from 0.
 
-    The list is read as one value because its order decides which entry wins.
+    The splits of the files are read in parallel and written once. A split's lines are numbered on the spot, and the running
+    sums of the splits' sizes, a table of one row per split, give each split its first number.
     """
-    lines = F.split(F.col("value"), "\n")
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(F.posexplode(lines).alias("pos", "ngram"))
-        .filter(F.col("ngram") != "")
+    split = ["path", "start"]
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")
     )
+    lines = staged(lines, "lines")
+    before = W.orderBy(*split).rowsBetween(W.unboundedPreceding, -1)
+    splits = lines.groupBy(*split).agg(F.count("*").alias("lines"), F.min("at").alias("first"))
+    splits = splits.select(*split, "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("offset"))
+    return lines.join(splits, split).select((F.col("offset") + F.col("at") - F.col("first")).alias("pos"), "value")
+
+
+def read_ngrams(spark: SparkSession, path: str) -> DataFrame:
+    """The n-gram list file as (pos, ngram) in file order, without empty lines; its order decides which entry wins."""
+    return read_lines(spark, path).filter(F.col("value") != "").select(F.col("pos").cast("int").alias("pos"), F.col("value").alias("ngram"))
 
 
 def ngram_list(ngrams: DataFrame | Sequence[str]) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import DATA
 from corpusloom.functions import text as X
-from corpusloom.operators import cooccurrence, ngrams, tokens
+from corpusloom.operators import cooccurrence, ngrams, ranking, stopwords, tokens
 from corpusloom.sources.articles import read_documents
 
 
@@ -196,8 +196,30 @@ def test_correlations(spark):
 def test_wide_presence(spark):
     stats = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (3, "x")], "id bigint, token string")
     targets = spark.createDataFrame([("a",), ("b",)], "token string")
-    wide = cooccurrence.presence(stats, targets, wide=True).orderBy("id").collect()
+    wide = cooccurrence.presence(stats, targets, ["a", "b"]).orderBy("id").collect()
     assert [(r.id, r.a, r.b) for r in wide] == [(1, True, True), (2, False, True)]
+    codes = cooccurrence.presence_codes(cooccurrence.presence(stats, targets), ranking.index_tokens(targets))
+    assert sorted((r.id, r.codes) for r in codes.collect()) == [(1, [0, 1]), (2, [1])]
+
+
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_tiles_list_every_pair_once(spark, monkeypatch, tile):
+    monkeypatch.setattr(cooccurrence, "TILE_TOKENS", tile)
+    names = [f"t{k}" for k in range(17)] + ["é", "Z"]
+    pairs = cooccurrence.all_token_pairs(spark.createDataFrame([(n, 1) for n in names], "token string, c long"))
+    got = [(r.token1, r.token2) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in names for b in names if a < b}
+    assert cooccurrence.all_token_pairs(pairs.limit(0).selectExpr("token1 AS token", "1 AS c")).isEmpty()
+
+
+def test_long_stop_lists_are_joined(spark, monkeypatch):
+    articles = read_documents(spark, DATA)
+    articles = articles.union(articles.limit(3)).drop("batch")  # repeated ids are rows of their own
+    stop = spark.createDataFrame([(w,) for w in ("the", "der", "die", "und", "les", "que")] * 2, "word string")
+    order = ["id", "token", "n", "tf"]
+    want = sorted(map(tuple, tokens.article_stats(articles, (), stop).select(order).collect()))
+    monkeypatch.setattr(stopwords, "MAX_INLINE_WORDS", 3)
+    assert sorted(map(tuple, tokens.article_stats(articles, (), stop).select(order).collect())) == want
 
 
 def test_part_count_and_padding(spark):

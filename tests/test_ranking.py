@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import ranking, vocabulary
+from corpusloom.operators import ranking, token_stats, vocabulary
 from corpusloom.options import Options
 
 
@@ -13,6 +13,27 @@ def test_global_rank_over_many_partitions(spark):
     assert ranked.filter(F.col("place") + F.col("v") != 5000).isEmpty() and ranked.count() == 5000
 
 
+def test_ranks_do_not_depend_on_partitions_or_scale(spark):
+    """Scores of tokens whose shares are equal in other orders are equal to the last digit, however small they are."""
+    shares = [n / d for d in range(3, 60) for n in range(1, 4)]
+    rows = [(a, f"t{k:02}", 1, shares[(7 * a + k // 5) % len(shares)]) for k in range(40) for a in range(170)]
+    stats = spark.createDataFrame(rows, "id long, token string, n long, tf double")
+
+    def ranks(df, factor=1.0):
+        totals = token_stats.token_totals(df).select("token", (F.col("tf") * factor).alias("mean_tfidf"))
+        return {r.token: r.tfidf_rank for r in ranking.rank_by(totals, "mean_tfidf").collect()}
+
+    want = ranks(stats.coalesce(1))
+    for parts in (2, 7, 40):
+        assert ranks(stats.repartition(parts, F.rand(parts))) == want
+    assert ranks(stats.repartition(5), 1e-9) == want
+    exact = {}
+    for _, token, _, tf in rows:
+        exact[token] = exact.get(token, 0) + int(tf * (1 << 60))
+    sums = {r.token: r.tf for r in token_stats.token_totals(stats).collect()}
+    assert all(sums[t] == pytest.approx(v / (1 << 60), rel=1e-15) for t, v in exact.items())
+
+
 def test_index_tokens_follow_code_points(spark):
     stats = spark.createDataFrame([("b",), ("Z",), ("é",), ("a",), ("b",)], "token string")
     codes = {r.token: r.code for r in ranking.index_tokens(stats).collect()}

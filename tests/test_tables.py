@@ -47,6 +47,26 @@ def test_ngram_list_order(spark, tmp_path):
     assert tables.ngram_list(found) == ["b c d", "a b", "z z"]
 
 
+def test_lines_of_many_splits_are_numbered_in_order(spark, tmp_path):
+    """Several files of several splits each, with empty lines and carriage returns."""
+    values = [f"n-gram {k}" + ("\r" if k % 50 == 0 else "") if k % 11 else "" for k in range(4000)]
+    for part in range(4):
+        (tmp_path / f"part-{part:05}.txt").write_bytes("".join(v + "\n" for v in values[part * 1000 : part * 1000 + 1000]).encode())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, "2k")
+    try:
+        lines = tables.read_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 12
+        assert [r.value for r in lines.orderBy("pos").collect()] == values
+        assert sorted(r.pos for r in lines.collect()) == list(range(4000))
+        listed = tables.read_ngrams(spark, str(tmp_path)).orderBy("pos").collect()
+        assert [(r.pos, r.ngram) for r in listed] == [(k, v) for k, v in enumerate(values) if v]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_lines_keep_their_order(spark, tmp_path):
     df = spark.range(500).select(F.format_string("%04d", "id").alias("v")).repartition(9)
     tables.write_lines(df, f"{tmp_path}/l", ["v"], one_file=True)

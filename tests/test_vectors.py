@@ -93,6 +93,18 @@ def test_neighbours_equal_brute_force(emb, metric, block_rows, monkeypatch):
         assert found[i] == want
 
 
+def test_many_centroids_are_met_in_blocks(spark, emb, monkeypatch):
+    random = np.random.default_rng(9)
+    centres = [(f"c{k:04}", random.normal(size=6).tolist()) for k in range(700)]
+    centres += [("a-copy", centres[5][1]), ("z-copy", centres[6][1])]
+    table = spark.createDataFrame(centres, "cluster string, centroid array<double>")
+    want = {r.article_id: r.cluster for r in clusters.assign_clusters(emb, table).collect()}
+    monkeypatch.setattr(clusters, "TRAVELLING_CELLS", 100)
+    monkeypatch.setattr(clusters, "BLOCK_CELLS", 6 * 64)
+    blocks = clusters.assign_clusters(emb, table)
+    assert {r.article_id: r.cluster for r in blocks.collect()} == want and len(want) == emb.count()
+
+
 def listed(graph):
     found = {}
     for r in graph.orderBy("article_id", "rank").collect():
