@@ -17,6 +17,7 @@ vector, which no plane divides: such a cell may exceed `CELL_WORDS` and is then
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -33,15 +34,21 @@ MIN_COUNT = 3
 DAMAGE = 97
 #: words whose vectors choose the planes between cells
 SAMPLE_WORDS = 20_000
-CELL_WORDS = 4096
-LEAF_WORDS = 48
+CELL_WORDS = 16_384
+LEAF_WORDS = 128
+#: words that are dealt to cells at a time
+DEALT_WORDS = 20_000
 #: distinct words that a task counts before it passes them on
-HELD_WORDS = 400_000
+HELD_WORDS = 150_000
 #: numbers that one block of comparisons holds
-BLOCK = 1 << 22
+BLOCK = 1 << 20
+#: queries that go down a tree together
+ASKED_WORDS = 8192
 
 DIMS = 32
 _RUN = re.compile("[a-zÀ-ÿ]+")
+#: counts as bits set from the lowest on, so that differing bits count differing letters; 8 and more are one
+_SIGNS = np.array([(1 << k) - 1 for k in range(9)], dtype=np.uint8)
 _DIM = np.array([c - 97 if 97 <= c <= 122 else 26 + c % (DIMS - 26) for c in range(256)])
 #: letters that a same-length word and a longer word have beyond a query, at most, and lack
 _EDITS = ((1, 1), (1, 0))
@@ -50,10 +57,7 @@ _EDITS = ((1, 1), (1, 0))
 def damaged_runs(key: str, text: str) -> Iterator[tuple[str, int]]:
     """Words of a text and their counts, each run under its checksum's decision to lose a letter."""
     start = crc32(f"{key}:".encode())
-    times: dict[str, int] = {}
-    for run in _RUN.findall(text):
-        times[run] = times.get(run, 0) + 1
-    for run, n in times.items():
+    for run, n in Counter(_RUN.findall(text)).items():
         h = crc32(run.encode(), start)
         if h % DAMAGE == 0:
             at = h % len(run)
@@ -90,17 +94,25 @@ def word_counts(docs: DataFrame, min_letters: int = MIN_LETTERS, min_count: int
 
 def letter_counts(words: list[str]) -> np.ndarray:
     """Counts of a to z, and of the other letters by their code modulo 6 (words x DIMS)."""
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    codes = np.frombuffer("".join(words).encode("latin-1"), dtype=np.uint8)
-    cells = np.repeat(np.arange(len(words)), sizes) * DIMS + _DIM[codes]
-    return np.bincount(cells, minlength=len(words) * DIMS).reshape(len(words), DIMS).astype(np.int32)
+    out = np.zeros((len(words), DIMS), dtype=np.int32)
+    for k in range(0, len(words), ASKED_WORDS):
+        some = words[k : k + ASKED_WORDS]
+        codes = np.frombuffer("".join(some).encode("latin-1"), dtype=np.uint8)
+        cells = np.repeat(np.arange(len(some)), [len(w) for w in some]) * DIMS + _DIM[codes]
+        out[k : k + ASKED_WORDS] = np.bincount(cells, minlength=len(some) * DIMS).reshape(len(some), DIMS)
+    return out
+
+
+def signature(counts: np.ndarray) -> np.ndarray:
+    """The counts of a word as 256 bits: two words differ in at most as many bits as letters."""
+    return _SIGNS[np.minimum(counts, 8)].view(np.uint64)
 
 
 class Tree:
     """A k-d tree. `lo` and `hi` are the nodes' boxes: of their points if `tight`, else what the planes leave."""
 
     def __init__(self, points: np.ndarray, leaf: int, tight: bool):
-        far = np.iinfo(np.int32).max
+        far = np.iinfo(np.int32).max // 4
         self.lo, self.hi, self.children, self.points = [], [], [], []
         whole = (np.full(DIMS, -far), np.full(DIMS, far))
         waiting = [(np.arange(len(points)), whole, -1)]
@@ -122,11 +134,11 @@ class Tree:
             below, above = hi.copy(), lo.copy()
             below[dim], above[dim] = plane, plane + 1
             waiting += [(own[values > plane], (above, hi), at), (own[values <= plane], (lo, below), at)]
-        self.lo, self.hi = np.array(self.lo), np.array(self.hi)
+        self.lo, self.hi = np.array(self.lo, dtype=np.int32), np.array(self.hi, dtype=np.int32)
 
     def reach(self, queries: np.ndarray, more: int, less: int) -> Iterator[tuple[int, np.ndarray]]:
         """Leaves, and the queries that reach their box by adding at most `more` letters and taking at most `less`."""
-        waiting = [(0, np.arange(len(queries)))]
+        waiting = [(0, np.arange(k, min(k + ASKED_WORDS, len(queries)))) for k in range(0, len(queries), ASKED_WORDS)]
         while waiting:
             at, own = waiting.pop()
             q = queries[own]
@@ -165,19 +177,33 @@ def _dealt(planes: dict[int, Tree]):
     """size, cell, role (0: a word of the cell; 1, 2: a query of the same length, of one less), word, n."""
     alone = Tree(np.zeros((0, DIMS), dtype=np.int32), 1, tight=False)
 
+    def deal(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        words = table.column(0).to_pylist()
+        sizes = np.array([len(w) for w in words])
+        vectors = letter_counts(words)
+        found = []
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            for role, target, (more, less) in ((0, size, (0, 0)), (1, size, _EDITS[0]), (2, size + 1, _EDITS[1])):
+                for cell, at in planes.get(target, alone).reach(vectors[own], more, less):
+                    found.append((np.full(len(at), target), np.full(len(at), cell), np.full(len(at), role), own[at]))
+        size, cell, role, at = (np.concatenate(x) for x in zip(*found))
+        fixed = [pa.array(x.astype(np.int32)) for x in (size, cell, role)]
+        dealt = pa.table([*fixed, table.column(0).take(pa.array(at)), table.column(1).take(pa.array(at))], ["size", "cell", "role", "word", "n"])
+        yield from dealt.combine_chunks().to_batches(max_chunksize=100_000)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            sizes = np.array([len(w) for w in words])
-            vectors = letter_counts(words)
-            for size in np.unique(sizes).tolist():
-                own = np.flatnonzero(sizes == size)
-                for role, target, (more, less) in ((0, size, (0, 0)), (1, size, _EDITS[0]), (2, size + 1, _EDITS[1])):
-                    for cell, found in planes.get(target, alone).reach(vectors[own], more, less):
-                        at = pa.array(own[found])
-                        n = len(at)
-                        fixed = [pa.array(np.full(n, v, dtype=np.int32)) for v in (target, cell, role)]
-                        yield pa.RecordBatch.from_arrays([*fixed, batch.column(0).take(at), batch.column(1).take(at)], ["size", "cell", "role", "word", "n"])
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= DEALT_WORDS:
+                yield from deal(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if held:
+            yield from deal(pa.Table.from_batches(held))
 
     return run
 
@@ -198,18 +224,20 @@ def _one_edit(short: np.ndarray, long: np.ndarray) -> np.ndarray:
 
 def near_in_cell(tree: Tree, points: np.ndarray, letters: np.ndarray, queries: np.ndarray, query_letters: np.ndarray, more: int, less: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, point) of the near words, in blocks."""
+    point_signs = signature(points)
+    rows = max(1, BLOCK // letters.shape[1])
     for leaf, found in tree.reach(queries, more, less):
         own = tree.points[leaf]
         for first in range(0, len(own), 1024):
             part = own[first : first + 1024]
-            step = max(1, BLOCK // (len(part) * DIMS))
+            signs = point_signs[part]
+            step = max(1, BLOCK // len(part))
             for begin in range(0, len(found), step):
                 some = found[begin : begin + step]
-                apart = points[part][None] - queries[some][:, None]
-                close = (np.maximum(apart, 0).sum(axis=2) <= more) & (np.maximum(-apart, 0).sum(axis=2) <= less)
-                q, p = np.nonzero(close)
+                asked = signature(queries[some])
+                apart = sum(np.bitwise_count(asked[:, None, k] ^ signs[None, :, k]) for k in range(signs.shape[1]))
+                q, p = np.nonzero(apart <= more + less)
                 q, p = some[q], part[p]
-                rows = max(1, BLOCK // letters.shape[1])
                 for k in range(0, len(q), rows):
                     a, b = q[k : k + rows], p[k : k + rows]
                     edit = _one_edit(query_letters[a], letters[b])
