@@ -30,8 +30,7 @@ from corpusloom.operators import token_stats as stats
 from corpusloom.options import Options
 from corpusloom.plans.run_all import run_all
 from corpusloom.sources import articles as A
-from corpusloom.sources import tables
-from corpusloom.sources.feather import register_feather
+from corpusloom.sources import feather, tables
 from corpusloom.staging import spread, stage_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,10 +270,9 @@ def s03_processing_choice(i: Inputs):
 
 @query
 def s04_feather_source(i: Inputs):
-    register_feather(i.spark)
     path = stage_path(i.spark, "feather")
-    i.articles.write.format("feather").mode("append").save(path)
-    found = i.spark.read.format("feather").load(path)
+    feather.write_feather(i.articles, path)
+    found = feather.read_feather(i.spark, path)
     return found.select("id", "title", F.length("abstract").alias("abstract_chars"), "batch")
 
 
@@ -319,10 +317,9 @@ def s09_append_sink(i: Inputs):
 
 @query
 def s10_feather_sink(i: Inputs):
-    register_feather(i.spark)
     path = stage_path(i.spark, "feather")
-    stats.token_totals(i.article_stats).write.format("feather").mode("append").save(path)
-    return i.spark.read.format("feather").load(path).select("token", "n", "num_articles")
+    feather.write_feather(stats.token_totals(i.article_stats), path)
+    return feather.read_feather(i.spark, path).select("token", "n", "num_articles")
 
 
 @query

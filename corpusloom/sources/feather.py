@@ -1,15 +1,23 @@
-"""Feather (Arrow IPC file) tables as a Spark data source: `spark.read.format("feather")`.
+"""Feather (Arrow IPC file) tables.
 
-Reading plans one split per record batch group of a file; writing gives one file per task, which
-appears under its final name only when the whole job commits.
+`read_feather` and `write_feather` work on the cluster's file system: Spark's own scan lists and reads the files, and
+a path without a scheme belongs to `fs.defaultFS`, for the driver and the tasks alike. All files must have one schema. Tasks write
+files of bounded size under a temporary name, and the driver renames those of the successful attempts through Hadoop's file
+system when all tasks are done.
+
+`spark.read.format("feather")` is the same as a data source for paths that Arrow's file systems open; a path without a scheme is
+then a path of each machine, so give a URI or a shared mount.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
+from uuid import uuid4
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -19,6 +27,8 @@ from pyspark.sql.datasource import (
 )
 
 BATCHES_PER_SPLIT = 16
+#: bytes after which a task begins a new file; Spark reads a file as one value of at most 2 GB
+FILE_BYTES = 256 << 20
 
 
 def _open(path: str):
@@ -156,6 +166,110 @@ class FeatherSource(DataSource):
         return _Writer(self.options["path"], overwrite, schema.fieldNames())
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path with its scheme."""
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system, found.makeQualified(system.getUri(), system.getWorkingDirectory())
+
+
+def _plain_schema(content: bytes):
+    """The schema of a file, with dictionaries as their values."""
+    import pyarrow as pa
+
+    found = pa.ipc.open_file(pa.BufferReader(content)).schema
+    return pa.schema([pa.field(f.name, f.type.value_type if pa.types.is_dictionary(f.type) else f.type) for f in found])
+
+
+def read_feather(spark: SparkSession, path: str) -> DataFrame:
+    """The Feather files at `path`, a file or a folder, in parallel; files whose schema differs from the others' are refused."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    system, root = _hadoop(spark, path)
+    reader = spark.read.format("binaryFile")
+    files = (reader.option("pathGlobFilter", "*.feather") if system.getFileStatus(root).isDirectory() else reader).load(root.toString())
+    smallest = files.select("path", "length").orderBy("length", "path").first()
+    if smallest is None:
+        raise ValueError(f"no feather files at {path}")
+
+    def schemas(batches: Iterator) -> Iterator:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_plain_schema(c).serialize().to_pybytes() for c in batch.column(0).to_pylist()], pa.binary())], ["schema"])
+
+    first = files.where(F.col("path") == smallest.path).select("content").mapInArrow(schemas, "schema binary").first()
+    wanted = pa.ipc.read_schema(pa.BufferReader(bytes(first.schema)))
+
+    def rows(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                content = content.as_buffer()
+                if not _plain_schema(content).equals(wanted):
+                    raise ValueError(f"{name} has other columns than {smallest.path}")
+                reader = pa.ipc.open_file(pa.BufferReader(content))
+                for k in range(reader.num_record_batches):
+                    own = reader.get_batch(k)
+                    plain = [c.dictionary_decode() if pa.types.is_dictionary(c.type) else c for c in own.columns]
+                    yield pa.RecordBatch.from_arrays(plain, names=wanted.names)
+
+    return files.select("path", "content").mapInArrow(rows, from_arrow_schema(wanted))
+
+
+def write_feather(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write `df` as Feather files; `mode` is errorifexists, append or overwrite."""
+    import pyarrow as pa
+
+    spark = df.sparkSession
+    system, root = _hadoop(spark, path)
+    if mode == "errorifexists" and system.exists(root):
+        raise ValueError(f"{path} exists")
+    job = uuid4().hex
+    uri = root.toString()
+    uri = "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    temporary, limit = f"{uri}/_temporary-{job}", FILE_BYTES
+
+    def write(batches: Iterator) -> Iterator:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        files, folder = fs.FileSystem.from_uri(temporary)
+        files.create_dir(folder, recursive=True)
+        task, made, size, sink, writer = TaskContext.get(), [], 0, None, None
+        for batch in batches:
+            if writer is None:
+                made.append(f"part-{task.partitionId():05}-{len(made):04}-{task.taskAttemptId()}.feather")
+                sink = files.open_output_stream(f"{folder}/{made[-1]}")
+                writer, size = pa.ipc.new_file(sink, batch.schema), 0
+            writer.write_batch(batch)
+            size += batch.nbytes
+            if size >= limit:
+                writer.close()
+                sink.close()
+                writer = None
+        if writer is not None:
+            writer.close()
+            sink.close()
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["name"])
+
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = path_of(f"{root.toString()}/_temporary-{job}")
+    try:
+        # one name per file that a successful attempt has finished
+        made = [r.name for r in df.mapInArrow(write, "name string").collect()]
+        system.mkdirs(root)
+        if mode == "overwrite":
+            for status in system.listStatus(root):
+                if status.isFile() and status.getPath().getName().endswith(".feather"):
+                    system.delete(status.getPath(), False)
+        for name in made:
+            final = path_of(f"{root.toString()}/{name.removesuffix('.feather')}-{job}.feather")
+            if not system.rename(path_of(folder, name), final):
+                raise OSError(f"{name} could not be renamed")
+    finally:
+        system.delete(folder, True)
+
+
 # executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 

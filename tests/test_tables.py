@@ -1,5 +1,6 @@
 """Sources, sinks, the whole run and arriving batches."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from corpusloom.operators import dense, stopwords, tokens
 from corpusloom.options import Options
 from corpusloom.plans.run_all import run_all
 from corpusloom.sources import articles as A
-from corpusloom.sources import tables
+from corpusloom.sources import feather, tables
 from corpusloom.sources.feather import register_feather
 from corpusloom.staging import stage_folder
 from corpusloom.streaming.arrivals import append_article_stats
@@ -41,6 +42,36 @@ def test_feather_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in one.collect()) == [(1, "a"), (2, "b")]
 
 
+def test_feather_on_the_default_file_system(spark, tmp_path, monkeypatch):
+    """A path without a scheme, several files a task, append and overwrite, files of other columns."""
+    monkeypatch.setattr(feather, "FILE_BYTES", 2000)
+    df = spark.range(70_000).select("id", F.concat(F.lit("é"), "id").alias("s"), F.array(F.lit(1.5), F.lit(None)).alias("v"), F.struct(F.col("id").alias("k")).alias("t"))
+    path = str(tmp_path / "f")
+    feather.write_feather(df.repartition(3), path)
+    names = sorted(f.name for f in (tmp_path / "f").iterdir() if not f.name.startswith("."))
+    assert len(names) > 3 and all(n.endswith(".feather") for n in names)
+    back = feather.read_feather(spark, path)
+    assert back.exceptAll(df).isEmpty() and back.count() == 70_000
+    with pytest.raises(ValueError, match="exists"):
+        feather.write_feather(df, path)
+    feather.write_feather(df.limit(5), path, "append")
+    assert feather.read_feather(spark, path).count() == 70_005
+    feather.write_feather(df.limit(7), path, "overwrite")
+    assert feather.read_feather(spark, path).count() == 7
+    pd.DataFrame({"id": [1, 2], "c": pd.Categorical(["a", "b"])}).to_feather(f"{tmp_path}/one.feather")
+    assert sorted(tuple(r) for r in feather.read_feather(spark, f"{tmp_path}/one.feather").collect()) == [(1, "a"), (2, "b")]
+    pd.DataFrame({"id": [1, 2], "c": ["a", "b"], "more": [1, 2]}).to_feather(f"{path}/two.feather")
+    with pytest.raises(Exception, match="has other columns than"):
+        feather.read_feather(spark, path).collect()
+    failing = df.select(F.when(F.col("id") == 999, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        feather.write_feather(failing, str(tmp_path / "g"))
+    assert not (tmp_path / "g").exists() or not [f for f in (tmp_path / "g").iterdir() if not f.name.startswith(".")]
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError, match="no feather files"):
+        feather.read_feather(spark, str(tmp_path / "empty"))
+
+
 def test_ngram_list_order(spark, tmp_path):
     (tmp_path / "n.txt").write_text("b c d\na b\n\nz z\n", encoding="utf-8")
     found = tables.read_ngrams(spark, str(tmp_path / "n.txt"))
