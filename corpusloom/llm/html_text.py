@@ -27,7 +27,7 @@ from corpusloom.llm.common import batches_of
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|math|canvas|object|select|title|button)\b[^>]*(?:/>|>.*?(?:</\1\s*[^>]*>|\Z))"
+    r"|<(script|style|noscript|template|textarea|iframe|svg|math)\b[^>]*(?:/>|>.*?(?:</\1\s*[^>]*>|\Z))"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>",
     re.S | re.I,
 )
@@ -35,7 +35,7 @@ _attribute = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|aria-label)\
 _word = re.compile(r"[a-z]+|[0-9]+")
 
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter progress q rp rt ruby s samp small span strike "
+    "a abbr acronym b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark meter object progress q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +45,10 @@ CLOSES = {
     "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"},
 }
 SCOPE = frozenset("table ul ol dl div section article aside nav header footer main form body td th".split())
+#: elements whose text is no part of the page; they end with their parent at the latest
+DROPPED = frozenset("button canvas object select title".split())
+#: short names that a comparison in a text may look like
+LETTER_TAGS = frozenset("a b i p q s u".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset head datalist".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 BOILERPLATE_WORDS = frozenset(
@@ -55,11 +59,28 @@ BOILERPLATE_WORDS = frozenset(
     "complementary contentinfo dialog adbox adslot sidenav topbar"
     .split()
 )
+#: words that with a listed one make a compound name, such as `comment-list`
+PART_WORDS = frozenset(
+    "area article aside bar block bottom box button center col column container content entry first form group holder icon inner item items last left link "
+    "links list main mobile module new outer page panel post posts primary right row secondary section site slot small story sub text title top user "
+    "view wrap wrapper zone".split()
+)
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 #: smoothness between neighbours on the page, and more for those under the same parent
 NEXT, SIBLING = 0.4, 0.8
 
 
+def _names_boilerplate(name: str) -> bool:
+    """Whether a class, id or role is a listed word, or made of listed words and words for parts of a page.
+
+    A listed word in a longer name, as in `comment-free-post` or `search-theory`, says nothing.
+    """
+    if name in BOILERPLATE_WORDS:
+        return True
+    words = [w for w in _word.findall(name) if not w.isdigit()]
+    return any(w in BOILERPLATE_WORDS for w in words) and all(w in BOILERPLATE_WORDS or w in PART_WORDS for w in words)
+
+
 def _context(tag: str, attributes: str) -> float:
     """What an element says about the blocks within it; far below zero for hidden ones."""
     score = -8.0 if tag in BOILERPLATE_TAGS else 4.0 if tag in CONTENT_TAGS else -4.5 if tag == "header" else 0.0
@@ -70,10 +91,9 @@ def _context(tag: str, attributes: str) -> float:
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             score -= 30
         elif name in ("class", "id", "role") and tag not in ("body", "html"):
-            words = set(_word.findall(value))
-            if words & BOILERPLATE_WORDS:
+            if any(map(_names_boilerplate, value.split())):
                 score -= 9
-            elif words & CONTENT_WORDS:
+            elif CONTENT_WORDS.intersection(_word.findall(value)):
                 score += 1.5
     return score
 
@@ -91,8 +111,8 @@ class Block:
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page with text, in page order."""
     out: list[Block] = []
-    # open elements: tag, number, summed context, inside a link
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
+    # open elements: tag, number, summed context, inside a link, inside a dropped element
+    stack: list[tuple[str, int, float, bool, bool]] = [("", 0, 0.0, False, False)]
     number, at = 0, 0
     block: Block | None = None
 
@@ -106,7 +126,7 @@ def blocks_of(html: str) -> list[Block]:
 
     def write(text: str) -> None:
         nonlocal block
-        if not text or (block is None and text.isspace()):
+        if not text or stack[-1][4] or (block is None and text.isspace()):
             return
         if block is None:
             owner = next(e for e in reversed(stack) if e[0] not in INLINE)
@@ -122,10 +142,13 @@ def blocks_of(html: str) -> list[Block]:
         at = m.end()
         tag = m[3]
         if tag is None:
-            if m[1] and m[1].lower() not in ("svg", "math", "canvas", "object"):
+            if m[1] and m[1].lower() not in ("svg", "math"):
                 finish()
             continue
         tag = tag.lower()
+        if tag in LETTER_TAGS and not m[2] and "=" not in m[4] and m[4].strip(" /\t\n\r\f").lower() not in ("", "hidden"):
+            write(m[0])  # less than and greater than, not a tag
+            continue
         if tag == "br":
             write(" ")
             continue
@@ -139,9 +162,9 @@ def blocks_of(html: str) -> list[Block]:
                 if tag in INLINE and stack[k][0] in SCOPE:
                     break
             continue
-        if tag in VOID:
+        if tag in VOID or (tag in DROPPED and m[0].endswith("/>")):
             continue
-        closes = CLOSES.get(tag) or ({"p"} if tag not in INLINE else ())
+        closes = CLOSES.get(tag) or ({"p"} if tag not in INLINE and tag not in DROPPED else ())
         if closes:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in closes:
@@ -160,7 +183,7 @@ def blocks_of(html: str) -> list[Block]:
         context = top[2] + own if own < 0 or top[2] < 0 else max(top[2], own)
         if top[2] < -6:
             context = min(context, top[2])
-        stack.append((tag, number, context, top[3] or tag == "a"))
+        stack.append((tag, number, context, top[3] or tag == "a", top[4] or tag in DROPPED))
     write(html[at:])
     finish()
     return out

@@ -31,8 +31,11 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 LOW = "\x01"
-#: rows read for the range bounds; they only decide how evenly the ranges are filled
+#: rows read for the range bounds, at least and for each range; they only decide how evenly the ranges are filled
 BOUND_ROWS = 4_000
+ROWS_PER_RANGE = 20
+#: characters of a bound
+BOUND_CHARS = 400
 
 
 def host_and_path(url: str = "url"):
@@ -90,10 +93,13 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default:
     host, path = host_and_path()
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     reverse = F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), LOW), F.lit(LOW))
-    # the hash of the row splits a host with very many rows over several ranges
-    rows = rows.withColumn("key", reverse).withColumn("salt", F.hex(F.xxhash64("page_id", "path")))
+    # a hash of the row and its partition splits a host, or copies of a row, over several ranges
+    rows = rows.withColumn("key", reverse).withColumn("salt", F.hex(F.xxhash64("page_id", "path", F.spark_partition_id())))
     spread = F.concat("key", F.lit(LOW), "salt")
-    sample = rows.orderBy(F.xxhash64("page_id", "path"), "key").limit(BOUND_ROWS).select(spread.alias("at"))
+    wanted = max(BOUND_ROWS, ROWS_PER_RANGE * ranges)
+    share = min(1.0, wanted / max(1, pages.select("url").count()))
+    # each partition draws its share, whatever its rows are
+    sample = rows.sample(share, seed=17).select(F.substring(spread, 1, BOUND_CHARS).alias("at"))
     order = sorted((r.at for r in sample.collect()), key=str.encode)
     bounds = sorted({order[len(order) * k // ranges] for k in range(1, ranges)} if order else set(), key=str.encode)
     encoded = [b.encode() for b in bounds]

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -175,6 +176,13 @@ def test_urls_equal_brute_force(spark, ranges):
     assert url_rules.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_one_hot_host_fills_all_ranges(spark):
+    """20,000 urls of one host, half of them one row, over 50 ranges."""
+    rows = spark.range(20_000, numPartitions=16).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("page_id"), F.lit("http://a.example.net/en/x").alias("url"))
+    sizes = url_rules.judge_urls(rows, url_rules.RULES, ranges=50).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 20_000 and len(sizes) >= 35 and max(r["count"] for r in sizes) < 1800
+
+
 # HTML
 
 
@@ -216,6 +224,39 @@ def test_main_text():
     assert html_text.main_text(long).count("Paragraph") == 20_000
 
 
+SENTENCE = "A plain sentence of the article, with enough words to look like prose, and a full stop."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f'<article class="comment-free-post"><p>{SENTENCE}</p></article>', SENTENCE),
+        (f'<main id="search-theory"><p>{SENTENCE}</p></main>', SENTENCE),
+        (f"<article><p>{SENTENCE}</p><p><button>Send it</p><p>{SENTENCE}</p></article>", f"{SENTENCE} {SENTENCE}"),
+        (f"<article><div><select><option>One<option>Two</div><p>{SENTENCE}</p></article>", SENTENCE),
+        (f"<article><p>{SENTENCE}<object data=x>No <b>plug-in</b></p><p>{SENTENCE}</p></article>", f"{SENTENCE} {SENTENCE}"),
+        (f"<article><p>{SENTENCE} So it is <canvas>none</canvas>one.</p></article>", f"{SENTENCE} So it is one."),
+        (f"<head><title>Name</head><body><article><p>{SENTENCE}</p></article>", SENTENCE),
+        (f"<article><p>{SENTENCE} It holds if a <b and c > d then, or if a<b>b</b>.</p></article>", f"{SENTENCE} It holds if a <b and c > d then, or if ab."),
+        (f'<article><p>{SENTENCE}</p><div class="comment-list"><p>{SENTENCE}</p></div></article>', SENTENCE),
+        (f'<article><p>{SENTENCE}</p></article><div id="site-footer-2"><p>{SENTENCE}</p></div>', SENTENCE),
+    ],
+)
+def test_names_and_unclosed_elements(html, want):
+    assert html_text.main_text(html) == want
+
+
+def test_pages_of_another_shape():
+    """No article element: a table layout of old pages, and nested plain divisions."""
+    old = f"""<table><tr><td><a href=1>Home</a><br><a href=2>News</a><br><a href=3>Links</a></td><td><font size=5>On rain</font><br>
+    {SENTENCE}<br><br>{SENTENCE} <i>{SENTENCE}</i></td></tr><tr><td colspan=2 class=copyright>(c) The owner. All rights reserved, of course.</td></tr></table>"""
+    assert html_text.main_text(old) == f"On rain {SENTENCE} {SENTENCE} {SENTENCE}"
+    plain = f"""<body><div class="site-header"><a href="/">Site</a></div><div><div><div><h2>On snow</h2><div>{SENTENCE}</div><div>{SENTENCE}</div>
+    <ul><li>First point, short.</li><li>Second point.</li></ul><div>{SENTENCE}</div></div></div></div>
+    <div class="related-posts"><h3>More</h3><a href="/1">Another one</a></div><div id="cookie-bar">We use cookies, as all do. Accept them.</div></body>"""
+    assert html_text.main_text(plain) == f"On snow {SENTENCE} {SENTENCE} First point, short. Second point. {SENTENCE}"
+
+
 def test_given_pages_yield_their_articles(spark):
     import html as H
     import re
