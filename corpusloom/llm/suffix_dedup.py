@@ -7,11 +7,14 @@ the same wherever the string occurs, so equal strings meet at equal triggers (a
 number would leave strings without any).
 
 The dictionary are the distinct phrases: the bytes of all strings that share one trigger, told apart by a 64-bit
-hash within the context of the trigger. The parse is the list of phrases of each document. What a suffix order would put side by
-side is found by hash: a context that always has the same phrase, twice or more, repeats all strings of the phrase, without a look at
-its bytes. Only where one context has different phrases are their bytes fetched, once per distinct
-phrase, and their 200-byte strings compared within the context. So the work beyond one pass over the texts follows the dictionary,
-not the copies. Contexts with more than `GROUP` different phrases are resolved by a shuffle of string hashes instead of within a task.
+hash within the context of the trigger. The parse is the list of phrases of each document. A context that the parse always follows
+with the same phrase, twice or more, repeats all strings of the phrase, without a look at
+its bytes. Where one context has different phrases their bytes are fetched, once per distinct
+phrase, and the suffixes of the dictionary's phrases are sorted: ranks of 8 bytes are doubled to ranks of 200, which is the suffix array of
+the context's part of the dictionary, cut at the length that counts. Strings of one rank are the same string at several places of the dictionary, and
+the parse says how often each phrase stands in the corpus. As equal strings share a context, no order beyond a context is
+needed, and the work beyond one pass over the texts follows the dictionary, not the copies. Contexts with more than `GROUP` different
+phrases are resolved by a shuffle of string hashes instead of within a task.
 
 Matches never cross documents. Null and empty texts are empty. Texts under 200 bytes are kept whole. Repeated rows of an id
 are documents of their own, as are rows with a null id. Extra columns are ignored. Very long texts are parsed in overlapping
@@ -156,12 +159,32 @@ def _string_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return part, place, hashes.of(start, start + LENGTH)
 
 
+def _string_ranks(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part, place and rank in the suffix order of every string of the phrases' bytes."""
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    count = sizes - LENGTH + 1
+    part = np.repeat(np.arange(len(parts)), count)
+    place = np.arange(len(part)) - np.repeat(np.cumsum(count) - count, count)
+    start = place + (np.cumsum(sizes) - sizes)[part]
+    key = np.zeros(len(data) - 7, dtype=np.uint64)
+    for k in range(8):
+        key = (key << np.uint64(8)) | data[k : len(data) - 7 + k]
+    rank, wide = np.unique(key, return_inverse=True)[1].astype(np.int64), 8
+    while wide < LENGTH:
+        step = min(wide, LENGTH - wide)
+        # a string's rank follows from those of its first and its last `wide` bytes
+        rank = np.unique(rank[:-step] * (rank.max() + 1) + rank[step:], return_inverse=True)[1].astype(np.int64)
+        wide += step
+    return part, place, rank[start]
+
+
 def _compare(groups: list[pa.Table]) -> pa.RecordBatch:
     """context, phrase and the ranges of repeated string places (first, last) of phrases that share contexts."""
     table = pa.concat_tables(groups)
     owner = np.repeat(np.arange(len(groups)), [g.num_rows for g in groups])
     times = table.column("times").to_numpy()
-    part, place, code = _string_hashes(table.column("bytes").to_pylist())
+    part, place, code = _string_ranks(table.column("bytes").to_pylist())
     order = np.lexsort((code, owner[part]))
     same = np.ones(len(order), dtype=bool)
     o, c = owner[part][order], code[order]
@@ -241,7 +264,8 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, mark and spans (array of start and end in bytes, in order, may overlap) of documents with repeated strings."""
     keyed = _keyed(docs)
     contexts = parse(keyed).groupBy("context").agg(F.count(F.lit(1)).alias("times"), F.min("phrase").alias("low"), F.max("phrase").alias("high"))
-    contexts = contexts.where("times > 1").select("context", (F.col("low") != F.col("high")).alias("several"))
+    # written, so that Spark can split a context that very many phrases share
+    contexts = staged(contexts.where("times > 1").select("context", (F.col("low") != F.col("high")).alias("several")), "contexts")
     hits = parse(keyed).join(contexts, "context")
     hits = hits.select("doc_id", "mark", "lo", "n", F.when(F.col("several"), F.col("context")).alias("context"), F.when(F.col("several"), F.col("phrase")).alias("phrase"))
     hits = staged(hits, "repeated-phrases")
