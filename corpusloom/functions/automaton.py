@@ -6,8 +6,10 @@ text of each length that the list has are tested against a Bloom filter of the l
 
 from __future__ import annotations
 
+import heapq
 import re
 import sys
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -39,14 +41,19 @@ def spaced(text: str) -> str:
     return text.replace("_", " ")
 
 
-def folded(text: str) -> str:
-    """What stays the same when white space becomes an underscore or letters change their case, sign by sign."""
+def lowered(text: str) -> str:
+    """Letters that differ in case alone become one, sign by sign."""
     low = text.upper()
     low = low.lower() if len(low) == len(text) else low
     if len(low) != len(text):  # some letters have longer forms
         one = ((c, c.upper()) for c in text)
         low = "".join((u if len(u) == 1 else c).lower()[0] for c, u in one)
-    return re.sub(r"[\s_]+", " ", low.replace("ς", "σ"))
+    return low.replace("ς", "σ")
+
+
+def folded(text: str) -> str:
+    """What stays the same when white space becomes an underscore or letters change their case."""
+    return re.sub(r"[\s_]+", " ", lowered(text))
 
 
 def spaced_column(name: str) -> Column:
@@ -60,43 +67,151 @@ def folded_column(name: str) -> Column:
     return F.pandas_udf(run, "string")(F.col(name))
 
 
-def hits(text: Column, listed: Sequence[str], same: Callable[[str], str] = exactly, values: Sequence[str] | None = None) -> Column:
-    """The `values` (by default the strings themselves) of the listed strings that a text contains, in list order, each place once.
+def _finder(listed: Sequence[str], same: Callable[[str], str]) -> Callable[[str], list[int]]:
+    """The places in the list of all strings that a text contains, both compared after `same`."""
+    import ahocorasick
+
+    places: dict[str, list[int]] = {}
+    for place, string in enumerate(listed):
+        places.setdefault(same(string), []).append(place)
+    everywhere = places.pop("", [])
+    automaton = ahocorasick.Automaton()
+    for string, at in places.items():
+        automaton.add_word(string, at)
+    if places:
+        automaton.make_automaton()
+
+    def find(text: str) -> list[int]:
+        at = set(everywhere)
+        if places:
+            for _, found in automaton.iter(same(text)):
+                at.update(found)
+        return sorted(at)
+
+    return find
 
-    Text and strings are compared after `same`. Null texts have none.
-    """
-    values = listed if values is None else values
-    state: dict = {}
 
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
+def _mapped(text: Column, make: Callable[[], Callable[[str], object]], kind: str) -> Column:
+    """A function of single texts, which each task makes once; null stays null."""
+    state: list = []
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if not state:
-            places: dict[str, list[int]] = {}
-            for place, string in enumerate(listed):
-                places.setdefault(same(string), []).append(place)
-            state["everywhere"] = places.pop("", [])
-            automaton = ahocorasick.Automaton()
-            for string, at in places.items():
-                automaton.add_word(string, at)
-            if places:
-                automaton.make_automaton()
-            state["automaton"] = automaton if places else None
-        automaton, everywhere = state["automaton"], state["everywhere"]
+            state.append(make())
         for texts in batches:
-            out = []
-            for value in texts:
-                if value is None:
-                    out.append([])
-                    continue
-                at = set(everywhere)
-                if automaton is not None:
-                    for _, places in automaton.iter(same(value)):
-                        at.update(places)
-                out.append([values[p] for p in sorted(at)])
-            yield pd.Series(out)
-
-    return F.pandas_udf(found, "array<string>")(text)
+            yield pd.Series([None if t is None else state[0](t) for t in texts], dtype=object)
+
+    return F.pandas_udf(run, kind)(text)
+
+
+def hits(text: Column, listed: Sequence[str]) -> Column:
+    """The listed strings that a text contains, in list order, each once."""
+
+    def make():
+        find = _finder(listed, exactly)
+        return lambda t: [listed[k] for k in find(t)]
+
+    return _mapped(text, make, "array<string>")
+
+
+def rewritten(text: Column, listed: Sequence[str], by: Sequence[str], same: Callable[[str], str]) -> Column:
+    """Each listed string replaced, in list order, by the one in `by`; only those that one pass finds are looked for.
+
+    `same` must not change when a string is replaced, so that what is found at first is all that can be found later.
+    """
+
+    def make():
+        find = _finder(listed, same)
+
+        def rewrite(t: str) -> str:
+            for k in find(t):
+                t = t.replace(listed[k], by[k])
+            return t
+
+        return rewrite
+
+    return _mapped(text, make, "string")
+
+
+#: white space of regular expressions with Unicode classes
+_GAP = re.compile("([\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+)")
+
+
+def _word_sign(sign: str) -> bool:
+    return sign == "_" or unicodedata.category(sign)[0] in "LN"
+
+
+class Joiner:
+    """Joins the parts of listed pairs in a text by underscores, in list order, in time that does not grow with the list.
+
+    A pair is joined where a piece between white space ends with its left part, at a word boundary, and the next piece begins with its
+    right part, whatever the case. A join makes one piece of two, which later pairs of the list may meet.
+    """
+
+    def __init__(self, pairs: Sequence[tuple[str, str]]):
+        self.rights: dict[str, dict[str, list[int]]] = {}
+        for place, (left, right) in enumerate(pairs):
+            self.rights.setdefault(lowered(left), {}).setdefault(lowered(right), []).append(place)
+        self.lefts = sorted({len(left) for left in self.rights})
+        self.sizes = {left: sorted({len(r) for r in rights}) for left, rights in self.rights.items()}
+
+    def _found(self, left: str, right: str, used: tuple[int, int]) -> Iterator[tuple[int, int]]:
+        """(place in the list, length of the right part) of the pairs that fit between two pieces."""
+        for n in self.lefts:
+            if n > len(left):
+                return
+            rights = self.rights.get(left[-n:])
+            if rights is None or (n < len(left) and _word_sign(left[-n - 1])):
+                continue
+            for size in self.sizes[left[-n:]]:
+                if size > len(right):
+                    break
+                for place in rights.get(right[:size], ()):
+                    # of one pair, what a match has taken is not taken again
+                    if not (place == used[0] and len(left) - n < used[1]):
+                        yield place, size
+
+    def __call__(self, text: str) -> str:
+        parts = _GAP.split(text)
+        pieces, gaps = parts[::2], parts[1::2]
+        if not gaps:
+            return text
+        low = [lowered(p) for p in pieces]
+        before, after = list(range(-1, len(pieces) - 1)), list(range(1, len(pieces) + 1))
+        used = [(-1, 0)] * len(pieces)
+        heap = [(place, k, k + 1, size) for k in range(len(gaps)) for place, size in self._found(low[k], low[k + 1], (-1, 0))]
+        heapq.heapify(heap)
+        closed = [False] * len(gaps)
+        # a piece is known by its first number; a gap by the piece that follows it at the start
+        while heap:
+            place, a, b, size = heapq.heappop(heap)
+            if closed[b - 1] or after[a] != b or pieces[a] is None:
+                continue
+            if (place, size) not in set(self._found(low[a], low[b], used[a])):
+                continue
+            closed[b - 1] = True
+            used[a] = (place, len(low[a]) + 1 + size)
+            pieces[a], low[a] = f"{pieces[a]}_{pieces[b]}", f"{low[a]}_{low[b]}"
+            pieces[b] = None
+            after[a] = after[b]
+            if after[a] < len(pieces):
+                before[after[a]] = a
+                for again, length in self._found(low[a], low[after[a]], used[a]):
+                    if again >= place:
+                        heapq.heappush(heap, (again, a, after[a], length))
+            if before[a] >= 0:
+                for again, length in self._found(low[before[a]], low[a], used[before[a]]):
+                    if again > place:
+                        heapq.heappush(heap, (again, before[a], a, length))
+        out = [pieces[0]]
+        for k, gap in enumerate(gaps):
+            if pieces[k + 1] is not None:
+                out += [gap, pieces[k + 1]]
+        return "".join(out)
+
+
+def joined(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    return _mapped(text, lambda: Joiner(pairs), "string")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

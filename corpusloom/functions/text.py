@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.automaton import folded, hits, spaced
+from corpusloom.functions.automaton import joined, rewritten, spaced
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
 UNROLL_LIMIT = 50
@@ -77,7 +77,7 @@ def collapse(text: Column, ngrams: Sequence[str]) -> Column:
     useful = [g for g in ngrams if " " in g]
     if len(useful) <= UNROLL_LIMIT:
         return reduce(lambda acc, g: F.replace(acc, F.lit(g), F.lit(g.replace(" ", "_"))), useful, text)
-    return collapse_found(text, hits(text, useful, spaced))
+    return rewritten(text, useful, [g.replace(" ", "_") for g in useful], spaced)
 
 
 def collapse_found(text: Column, found: Column) -> Column:
@@ -97,13 +97,12 @@ def joining_pattern(ngram: str) -> str:
 def join_parts(text: Column, ngrams: Sequence[str]) -> Column:
     """Rewrite `lhs <spaces> rhs` to `lhs_rhs` for each two-part n-gram, ignoring and keeping case.
 
-    The left part must start at a word boundary; the right part may be the start of a longer word. Of a long list only
-    the n-grams that one pass finds, whatever their case and spaces, are looked for by their expression.
+    The left part must start at a word boundary; the right part may be the start of a longer word. A long list is
+    looked up piece by piece, which gives the same text.
     """
-    patterns = [joining_pattern(g) for g in ngrams]
-    if len(patterns) <= UNROLL_LIMIT:
-        return reduce(lambda acc, p: F.regexp_replace(acc, p, "$1_$2"), patterns, text)
-    return join_found(text, hits(text, [" ".join(g.split()) for g in ngrams], folded, patterns))
+    if len(ngrams) <= UNROLL_LIMIT:
+        return reduce(lambda acc, p: F.regexp_replace(acc, p, "$1_$2"), map(joining_pattern, ngrams), text)
+    return joined(text, [tuple(g.split()) for g in ngrams])
 
 
 def join_found(text: Column, patterns: Column) -> Column:

@@ -1,5 +1,6 @@
 """Collapsing, matching and rewriting n-grams, against plain Python."""
 
+import random
 import re
 from itertools import product
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
+from corpusloom.functions import automaton
 from corpusloom.functions import text as X
 from corpusloom.operators import cooccurrence, ngrams, ranking, stopwords, tokens
 from corpusloom.sources.articles import read_documents
@@ -108,6 +110,20 @@ def test_long_lists_equal_the_plain_fold(spark, monkeypatch, limit):
     assert sorted((r.id, r.text or "") for r in got) == sorted((r.id, fold(r.text) or "") for r in rows)
 
 
+def test_joins_equal_expressions_one_after_the_other():
+    """Overlapping pairs, boundaries within pieces, parts that earlier joins make."""
+    rng = random.Random(2)
+    parts = ["a", "b", "ab", "a-b", "b-a", "a_b", "c", "-a", "b'a"]
+    space = "\t-\r \x85\xa0\u2003"
+    for _ in range(3000):
+        pairs = [(rng.choice(parts), rng.choice(parts)) for _ in range(rng.randint(1, 7))]
+        text = "".join(rng.choice([*parts, "A", "B", "C"]) + rng.choice((" ", "  ", "\n", "\u2003")) for _ in range(rng.randint(1, 9)))
+        want = text = rng.choice(("", " ")) + text
+        for left, right in pairs:
+            want = re.sub(rf"(?i)(?<!\w)({re.escape(left)})[{space}]+({re.escape(right)})", r"\1_\2", want)
+        assert automaton.Joiner(pairs)(text) == want
+
+
 @pytest.mark.parametrize("limit", [None, 0])
 def test_long_lists_are_joined_as_short_ones(spark, monkeypatch, limit):
     if limit is not None:
