@@ -6,13 +6,15 @@ passage. A segment's score for a passage is the BM25 sum over the passage's dist
 segment's own sum. Retrieval is block-max WAND for a batch of passages at a time: segments lie
 in blocks of similar total, each word has the greatest weight of its postings per block, and only blocks whose
 greatest weights add up to the threshold for a passage are scored, so all segments at or above the threshold
-and no other blocks are read. Retrieved items are verified over the whole document: at least `least`
-(0.8) of the five-word shingles of both the item's question and its answer must occur in it. The answer
-is the last sentence of an item and the question what stands before; an item of one sentence is both. A part of
-fewer than five words is one shingle.
+and no other blocks are read. Retrieved items are verified over the document: at least `least`
+(0.8) of the five-word shingles of both the item's question and its answer must occur in it. As one changed word takes five
+shingles, a part of five to `SHORT` words also passes at an edit similarity of `least` with some run of words
+around the retrieved passages. The answer is the last sentence of an item and the question what stands before; an item of
+one sentence is both. A part of fewer than five words is one shingle.
 
 Statistics are taken over all items. The index that a task holds is bounded: items are dealt into shards of
-about `SHARD_ITEMS`, and each shard is one pass over the documents. Null and empty texts and items match nothing. Repeated
+about `SHARD_ITEMS`, and each shard is one pass over the documents. Passages are looked up in runs whose bounds fit `BOUNDS` numbers,
+however long a text is. Null and empty texts and items match nothing. Repeated
 rows of documents are reported each on its own, and items with the same id are one item per text. Extra columns are
 ignored. Without items nothing is reported.
 """
@@ -35,6 +37,10 @@ BLOCK = 8
 SHINGLE = 5
 K1, B = 1.2, 0.75
 SHARD_ITEMS = 20_000
+#: words below which a part may also pass by edit similarity
+SHORT = 29
+#: bounds of passages by blocks that are held at a time
+BOUNDS = 1 << 22
 #: words of documents that are looked up together
 CHUNK_WORDS = 200_000
 
@@ -132,6 +138,36 @@ def _expand(starts: np.ndarray, word: np.ndarray):
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + starts[word][owner]
 
 
+def edit_share(part: list[str], text: list[str]) -> float:
+    """1 - the least edit distance, per word of the part, of the part to any run of words of the text."""
+    at: dict[str, int] = {}
+    for n, x in enumerate(part):
+        at[x] = at.get(x, 0) | 1 << n
+    full, last = (1 << len(part)) - 1, 1 << (len(part) - 1)
+    up, down, distance, least = full, 0, len(part), len(part)
+    for x in text:
+        same = at.get(x, 0)
+        vertical = same | down
+        across = (((same & up) + up) ^ up) | same
+        rises, falls = down | (full & ~(across | up)), up & across
+        distance += bool(rises & last) - bool(falls & last)
+        least = min(least, distance)
+        rises, falls = rises << 1 & full, falls << 1 & full  # a run may begin anywhere
+        up, down = falls | (full & ~(vertical | rises)), rises & vertical
+    return 1 - least / len(part)
+
+
+def _retrieved(index: Index, pair: np.ndarray, n: int, threshold: float):
+    """`Index.retrieve` for sorted (passage, word) pairs, in runs of passages."""
+    size, run = len(index.words), max(1, BOUNDS // max(1, index.n_blocks))
+    parts = []
+    for lo in range(0, n, run):
+        own = pair[np.searchsorted(pair, lo * size) : np.searchsorted(pair, (lo + run) * size)]
+        passage, segment, score = index.retrieve(own // size - lo, own % size, min(run, n - lo), threshold)
+        parts.append((passage + lo, segment, score))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _leaks(index: Index, texts: list[str | None], threshold: float, least: float):
     """(row, item, score, question overlap, answer overlap) of the verified items of a list of texts."""
     find, out, lo = index.words.get, [], 0
@@ -153,16 +189,24 @@ def _leaks(index: Index, texts: list[str | None], threshold: float, least: float
         back = chunk > first[row]
         n, size = int(strides.sum()), len(index.words)
         pair = np.unique(np.concatenate([chunk * size + word, (chunk[back] - 1) * size + word[back]]))
-        passage, segment, score = index.retrieve(pair // size, pair % size, n, threshold) if size else ([], [], [])
+        passage, segment, score = _retrieved(index, pair, n, threshold) if size and n else ([], [], [])
         owner = np.repeat(np.arange(len(held)), strides)
         best: dict[tuple[int, int], float] = {}
+        where: dict[tuple[int, int], list[int]] = {}
         for p, s, x in zip(passage, segment, score, strict=True):
             key = (int(owner[p]), int(index.item[s]))
             best[key] = max(best.get(key, 0.0), float(x))
+            where.setdefault(key, []).append(int(p - first[key[0]]) * STRIDE)
         joined: dict[int, str] = {}
         for (r, item), x in sorted(best.items()):
             whole = joined.setdefault(r, " " + " ".join(held[r]) + " ")
-            shares = [sum(s in whole for s in part) / len(part) for part in map(shingles, index.parts[item])]
+            parts = index.parts[item]
+            shares = [sum(s in whole for s in part) / len(part) for part in map(shingles, parts)]
+            for k, part in enumerate(parts):
+                if shares[k] < least and SHINGLE <= len(part) < SHORT:
+                    reach = sum(map(len, parts))
+                    near = held[r][max(0, min(where[r, item]) - reach) : max(where[r, item]) + 2 * STRIDE + reach]
+                    shares[k] = max(shares[k], edit_share(part, near))
             if min(shares) >= least - 1e-9:
                 out.append((lo + r, item, x, *shares))
         lo = hi
