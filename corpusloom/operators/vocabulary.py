@@ -64,6 +64,12 @@ def zip_ranked(vocab: DataFrame, dim: int) -> DataFrame:
     return ranks.join(filled, "rank", "left").orderBy("rank")
 
 
+def listed_tokens(listed: DataFrame) -> DataFrame:
+    """(embedding, token, dim) from the table of ranks that `zip_ranked` gives."""
+    long = listed.unpivot("rank", list(KINDS), "embedding", "token").filter("token is not null")
+    return long.select("embedding", "token", (F.col("rank") - 1).alias("dim"))
+
+
 def vocab_counts(article_stats: DataFrame, vocab: DataFrame) -> DataFrame:
     """(embedding, article_id, dim, n) for the selected tokens; all kinds in one join.
 

@@ -29,6 +29,7 @@ _CONFIG_KEYS = {
     "num_clusters": ("clustering", "num_clusters"),
     "projection_max_articles": ("umap", "max_articles"),
     "n_neighbors": ("umap", "n_neighbors"),
+    "metric": ("umap", "metric"),
     "raster_max_articles": ("datashader", "max_articles"),
     "raster_width": ("datashader", "width"),
     "raster_height": ("datashader", "height"),
@@ -59,6 +60,7 @@ class Options:
     num_clusters: int = 10
     projection_max_articles: int | None = None
     n_neighbors: int = 15
+    metric: str = "cosine"  # of neighbours and projections
     raster_max_articles: int | None = None
     raster_width: int = 1000
     raster_height: int = 1000

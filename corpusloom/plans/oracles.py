@@ -483,3 +483,28 @@ oracle("e03_neighbourhood_overlap", "articles tfidf vocab", """SELECT article_id
        + ", wide AS (" + NEAR_TERMS.format(likeness="likeness", both="alike") + "), narrow AS (" + NEAR_TERMS.format(likeness="likeness", both="alike_few") + ")")
 oracle("e04_term_network", "pairs", """SELECT token, count(*) AS degree, round(sum(cor), 6) AS strength FROM (
     SELECT token1 AS token, cor FROM pairs UNION ALL SELECT token2, cor FROM pairs) GROUP BY token""")
+
+
+def run_all_rows() -> None:
+    """Row counts of a run, whose tokens come from texts with the known n-grams collapsed."""
+    kept = PARTS["tokens"]
+    PARTS["tokens"] = PARTS["joined_tokens"]
+    counted = {
+        "stats/articles": "article_stats", "stats/tokens": "totals", "stats/co-occurrence": "presence",
+        "stats/token-correlations": "correlations", "stats/correlated-token-pairs": "pairs", "ngrams/batches": "ngram_counts",
+        "ngrams/counts": "ngram_counts", "embeddings/counts": "counts", "embeddings/batches": "articles", "embeddings/encoded": "articles",
+        "clusters/encoded": "articles", "projections/encoded": "(SELECT article_id FROM encoded GROUP BY article_id HAVING max(exact) > min(exact))",
+    }
+    for kind in KINDS:
+        counted |= {f"embeddings/vectors/{kind}": "articles", f"clusters/{kind}": "articles"}
+        counted[f"projections/{kind}"] = f"""(SELECT article_id FROM counts WHERE embedding = '{kind}' GROUP BY article_id
+            HAVING count(*) < 64 OR max(n) > min(n))"""
+    rows = [f"SELECT '{name}' AS name, count(*) AS rows FROM {source}" for name, source in counted.items()]
+    rows += ["SELECT 'embeddings/tokens', 64", "SELECT 'neighbours/encoded', count(*) * least(15, count(*) - 1) FROM articles"]
+    sent = pooled("src").replace("AS value", "AS value, avg(coalesce(v, 0.0)) AS exact")
+    oracle("r16_run_all", "articles article_stats totals presence correlations pairs ngram_counts counts", " UNION ALL ".join(rows),
+           "src AS (SELECT id, replace(title || ' ' || abstract, chr(10), ' ') AS text FROM articles)," + sent)
+    PARTS["tokens"] = kept
+
+
+run_all_rows()

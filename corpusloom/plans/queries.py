@@ -1011,10 +1011,11 @@ def r15_visualize(i: Inputs):
 
 @query
 def r16_run_all(i: Inputs):
+    """The rows of every table that a run leaves, pictures aside, whose pixels follow the projection."""
     out = stage_path(i.spark, "run")
     made = run_all(i.spark, i.articles, i.known, i.stop_list, dense.hash_encoder(ENCODER_DIM), out, i.opts)
-    parts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("rows")) for name, df in made.items()]
-    return tokens.union_batches(*parts)
+    tables_ = {name: df for name, df in made.items() if not name.startswith(("figures/", "neighbours/weights"))}
+    return tokens.union_batches(*(df.agg(F.lit(name).alias("name"), F.count("*").alias("rows")) for name, df in tables_.items()))
 
 
 # functions

@@ -1,13 +1,15 @@
 """Sources, sinks, the whole run and arriving batches."""
 
+from dataclasses import replace
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA, plan
-from corpusloom.operators import dense, stopwords, tokens
+from corpusloom.operators import dense, stopwords, tokens, vocabulary
 from corpusloom.options import Options
-from corpusloom.plans.run_all import run_all
+from corpusloom.plans.run_all import run_all, run_corpus
 from corpusloom.sources import articles as A
 from corpusloom.sources import feather, tables
 from corpusloom.sources.feather import register_feather
@@ -123,6 +125,16 @@ def test_run_all_and_arrivals(spark, tmp_path):
         assert made[f"figures/{kind}"].count() > 0
     listed = tables.read_ngrams(spark, f"{tmp_path}/run/ngrams/ngrams")
     assert "der die" in tables.ngram_list(listed)
+    dense_rows = vocabulary.dense_counts(articles, made["embeddings/counts"], "ensemble", 16).collect()
+    sparse_rows = {r.article_id: list(r.embedding.toArray()) for r in made["embeddings/vectors/ensemble"].collect()}
+    assert {r.article_id: list(r.embedding) for r in dense_rows} == sparse_rows
+    assert made["neighbours/encoded"].count() == 15 * made["embeddings/encoded"].count()
+
+    A.write_batches(articles, f"{tmp_path}/corpus/lemmatized")
+    some = replace(opts, processing="lemmatized", batch_start=2, batch_end=2, n_neighbors=3, metric="jaccard", token_min_freq=5)
+    part = run_corpus(spark, f"{tmp_path}/corpus", known, stop, dense.hash_encoder(4), f"{tmp_path}/part", some)
+    n = articles.filter("batch = '0002'").count()
+    assert 0 < n < 200 and part["clusters/tfidf"].count() == n and part["neighbours/encoded"].count() == 3 * n
 
     A.write_batches(articles, f"{tmp_path}/in")
     for _ in range(2):
