@@ -508,3 +508,11 @@ def run_all_rows() -> None:
 
 
 run_all_rows()
+
+# what holds for every clustering and every projection by principal components
+oracle("v02_kmeans", "emb", "SELECT article_id, CAST(1 AS BIGINT) AS labels, true AS nearest FROM emb")
+oracle("r13_cluster_counts", "articles", "SELECT id AS article_id, CAST(1 AS BIGINT) AS labels, true AS nearest FROM articles")
+PROJECTED = "SELECT count(*) AS articles, true AS centred, true AS uncorrelated, true AS in_order, true AS widest FROM "
+oracle("v05_project", "flat", PROJECTED + "flat WHERE list_max(embedding) > list_min(embedding)")
+oracle("r14_project_counts", "counts", PROJECTED + """(SELECT article_id FROM counts WHERE embedding = 'ensemble' GROUP BY article_id
+    HAVING count(*) < 64 OR max(n) > min(n))""")

@@ -882,9 +882,42 @@ def v01_count_embedding(i: Inputs):
     return kinds.join(sums, ["embedding", "article_id"], "left").fillna(0, ["total", "tokens"])
 
 
+def clustering_facts(emb: DataFrame, found: DataFrame) -> DataFrame:
+    """(article_id, labels, nearest): how many labels an article has, and whether its cluster's mean is the nearest of all means."""
+    labelled = staged(emb.select("article_id", "embedding").join(found, "article_id"), "labelled")
+    means = staged(clusters.centroids(labelled), "means")
+    nearest = clusters.assign_clusters(labelled, means).withColumnRenamed("cluster", "mean")
+    same = found.join(nearest, "article_id").select("article_id", (F.col("cluster") == F.col("mean")).alias("nearest"))
+    return same.groupBy("article_id").agg(F.count("*").alias("labels"), F.bool_and("nearest").alias("nearest"))
+
+
+def projection_facts(emb: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row: the projected articles, and whether their columns are centred, uncorrelated, in order, and no narrower than any two entries."""
+    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = V.as_vectors(projection.drop_constant_vectors(emb.select("article_id", "embedding")))
+    unit = Normalizer(inputCol="embedding", outputCol="unit").transform(rows)
+    spread_ = F.sort_array(vector_to_array(Summarizer.variance(F.col("unit"))), asc=False)
+    wide = unit.agg(F.slice(spread_, 1, 2).alias("v")).scalar()  # one row
+    x = placed.agg(
+        F.count("*").alias("articles"), F.avg("x1").alias("m1"), F.avg("x2").alias("m2"),
+        F.var_samp("x1").alias("v1"), F.var_samp("x2").alias("v2"), F.covar_samp("x1", "x2").alias("c"),
+    )
+    near = 1e-8
+    return x.withColumns({"w1": F.get(wide, F.lit(0)), "w2": F.get(wide, F.lit(1))}).select(
+        "articles",
+        ((F.abs("m1") < near) & (F.abs("m2") < near)).alias("centred"),
+        (F.abs("c") < near).alias("uncorrelated"),
+        (F.col("v1") + near >= F.col("v2")).alias("in_order"),
+        ((F.col("v1") + near >= F.col("w1")) & (F.col("v1") + F.col("v2") + near >= F.col("w1") + F.col("w2"))).alias("widest"),
+    )
+
+
 @query
 def v02_kmeans(i: Inputs):
-    return clusters.cluster_articles(i.embeddings, 10, i.opts.random_seed)
+    return clustering_facts(i.embeddings, staged(clusters.cluster_articles(i.embeddings, 10, i.opts.random_seed, 200), "clusters"))
 
 
 @query
@@ -900,7 +933,7 @@ def v04_encode(i: Inputs):
 
 @query
 def v05_project(i: Inputs):
-    return projection.project_2d(i.flat_embeddings)
+    return projection_facts(i.flat_embeddings, staged(projection.project_2d(i.flat_embeddings), "projected"))
 
 
 @query
@@ -994,14 +1027,16 @@ def r12_combine_embeddings(i: Inputs):
 
 @query
 def r13_cluster_counts(i: Inputs):
-    emb = vocabulary.dense_counts(i.articles, i.counts, "ensemble", i.opts.embedding_dim)
-    return clusters.cluster_articles(emb, i.opts.num_clusters, i.opts.random_seed)
+    words = tokens.kept_words(i.articles, (), i.stop_list, Options())
+    emb = staged(vocabulary.count_vectors(words, i.vocab, "ensemble"), "count-vectors")
+    return clustering_facts(emb, staged(clusters.cluster_articles(emb, i.opts.num_clusters, i.opts.random_seed, 200), "clusters"))
 
 
 @query
 def r14_project_counts(i: Inputs):
     words = tokens.kept_words(i.articles, (), i.stop_list, Options())
-    return projection.project_articles(vocabulary.count_vectors(words, i.vocab, "ensemble"), i.opts)
+    emb = staged(vocabulary.count_vectors(words, i.vocab, "ensemble"), "count-vectors")
+    return projection_facts(emb, staged(projection.project_articles(emb, i.opts), "projected"))
 
 
 @query
