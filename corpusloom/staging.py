@@ -27,6 +27,12 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{stage_folder(spark)}/{name}-{uuid4().hex}"
 
 
+def clear_stage(spark: SparkSession) -> None:
+    """Remove all staged tables of this application; results that are still lazy must be written before."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet in the stage folder and continue from the written table."""
     spark = df.sparkSession

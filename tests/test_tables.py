@@ -13,6 +13,7 @@ from corpusloom.plans.run_all import run_all, run_corpus
 from corpusloom.sources import articles as A
 from corpusloom.sources import feather, tables
 from corpusloom.sources.feather import register_feather
+from corpusloom import staging
 from corpusloom.staging import stage_folder
 from corpusloom.streaming.arrivals import append_article_stats
 
@@ -110,6 +111,14 @@ def test_stage_folder_is_the_shared_one(spark, monkeypatch):
     assert spark.sparkContext.applicationId in stage_folder(spark) or "corpusloom-" in stage_folder(spark)
 
 
+def test_staged_tables_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "stage_folder", lambda _: str(tmp_path / "app"))
+    assert staging.staged(spark.range(5), "five").count() == 5 and len(list((tmp_path / "app").iterdir())) == 1
+    staging.clear_stage(spark)
+    assert not (tmp_path / "app").exists()
+    assert staging.staged(spark.range(3), "three").count() == 3
+
+
 def test_run_all_and_arrivals(spark, tmp_path):
     articles = A.read_documents(spark, DATA)
     stop = stopwords.stop_list()
