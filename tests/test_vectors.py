@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan
 from corpusloom.functions import vectors as V
 from corpusloom.operators import clusters, dense, keys, neighbours, projection, raster, spaces
 from corpusloom.options import Options
@@ -243,3 +244,27 @@ def test_single_point_picture(spark):
     groups = spark.createDataFrame([(1, "cluster_0")], "article_id bigint, cluster string")
     row = raster.visualize_embeddings(points, groups, Options(raster_width=5, raster_height=5)).first()
     assert (row.px, row.py, row.alpha) == (0, 0, 1.0)
+
+
+def test_blocks_meet_without_a_shuffle(spark):
+    """What is shuffled does not grow with the number of cells that are visited."""
+    random = np.random.default_rng(11)
+    x = random.normal(size=(300, 6))
+    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "article_id bigint, embedding array<double>")
+    graph = neighbours.knn_graph(emb, 3, block_rows=20, cell_rows=20)
+    text = plan(graph)
+    assert "CartesianProduct" in text and "FlatMapGroupsInArrow" not in text
+    likeness = x @ x.T / np.linalg.norm(x, axis=1) / np.linalg.norm(x, axis=1)[:, None]
+    for i, found in listed(graph).items():
+        assert found == sorted((max(0.0, round(1 - likeness[i, j], 9)), j) for j in range(300) if j != i)[:3]
+
+
+def test_encoder_is_made_of_digests_in_small_batches(spark):
+    import hashlib
+
+    vectors, mask = dense.hash_encoder(3)()(["a  b", "", "c"])
+    assert vectors.shape == (3, 2, 3) and mask.tolist() == [[1, 1], [0, 0], [1, 0]]
+    assert vectors[0, 1].tolist() == [b / 255 for b in hashlib.md5(b"b").digest()[:3]] and not vectors[1].any()
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    dense.encode_texts(spark.createDataFrame([(1, "x")], "id int, text string"), dense.hash_encoder(2))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
