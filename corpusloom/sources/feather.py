@@ -26,9 +26,11 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from corpusloom.staging import bounded_batches
+
 BATCHES_PER_SPLIT = 16
-#: bytes after which a task begins a new file; Spark reads a file as one value of at most 2 GB
-FILE_BYTES = 256 << 20
+#: bytes after which a task begins a new file; a reading task holds a whole file, as Spark reads it as one value of at most 2 GB
+FILE_BYTES = 16 << 20
 
 
 def _open(path: str):
@@ -187,6 +189,7 @@ def read_feather(spark: SparkSession, path: str) -> DataFrame:
     import pyarrow as pa
     from pyspark.sql.pandas.types import from_arrow_schema
 
+    bounded_batches(spark)
     system, root = _hadoop(spark, path)
     reader = spark.read.format("binaryFile")
     files = (reader.option("pathGlobFilter", "*.feather") if system.getFileStatus(root).isDirectory() else reader).load(root.toString())
@@ -221,6 +224,7 @@ def write_feather(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     import pyarrow as pa
 
     spark = df.sparkSession
+    bounded_batches(spark)
     system, root = _hadoop(spark, path)
     if mode == "errorifexists" and system.exists(root):
         raise ValueError(f"{path} exists")

@@ -152,3 +152,14 @@ def test_run_all_and_arrivals(spark, tmp_path):
     stats = tokens.article_stats(articles, (), stop, opts)
     found = spark.read.parquet(f"{tmp_path}/out").select("id", "token", "n", "tf")
     assert found.count() == stats.count() and found.exceptAll(stats).isEmpty()
+
+
+def test_feather_files_and_batches_are_small(spark, tmp_path):
+    """A reading task holds a whole file, so files are small however much a task writes."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 60, 1, 1).select("id", F.repeat(F.lit("x"), 1 << 20).alias("s"))
+    feather.write_feather(df, str(tmp_path / "f"))
+    sizes = [f.stat().st_size for f in (tmp_path / "f").glob("*.feather")]
+    assert len(sizes) >= 3 and max(sizes) < 32 << 20
+    assert feather.read_feather(spark, str(tmp_path / "f")).agg(F.sum("id"), F.sum(F.length("s"))).first()[:] == (1770, 60 << 20)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
