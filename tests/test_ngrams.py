@@ -246,3 +246,15 @@ def test_part_count_and_padding(spark):
     ).first()
     assert row.p == 2 and row.z == "12345"
     assert [row.k9, row.k10, row.k99, row.k100] == ["cluster_7", "cluster_07", "cluster_07", "cluster_007"]
+
+
+@pytest.mark.parametrize("step", ["match", "collapse", "replace"])
+def test_batches_of_texts_are_small(spark, step):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.createDataFrame([(1, "gene map", "a gene map", "a gene map")], "id int, title string, abstract string, text string")
+    listed = spark.createDataFrame([("gene map", 5, 0)], "ngram string, freq int, pos int")
+    done = {"match": lambda: ngrams.match_ngrams(rows, listed), "collapse": lambda: ngrams.collapse_ngrams(rows, listed), "replace": lambda: ngrams.replace_ngrams(rows, listed, 1)}[step]()
+    assert done.count() == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
