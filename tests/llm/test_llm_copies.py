@@ -456,3 +456,13 @@ def test_odd_rows(frame, odd_rows):
     empty = docs.limit(0)
     for out in (suffix_dedup.without_repeats(empty), simhash.near_duplicates(empty), simhash.keep_first(empty), line_dedup.dedup_lines(empty), line_dedup.drop_repeated_lines(empty)):
         assert out.count() == 0
+
+
+def test_grams_of_all_texts_are_counted(spark):
+    """Also those that stand only late in a long text, and only in the last rows of a large table."""
+    rows = [(k, f"w{3 * k} w{3 * k + 1} w{3 * k + 2} w{3 * k + 3} w{3 * k + 4}") for k in range(2500)]
+    rows += [(k, " ".join(f"v{k}x{n}" for n in range(1000)) + "\nuno due tre quattro cinque") for k in range(2500, 2600)]
+    often = line_dedup._often(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    grams, _ = line_dedup._grams(*line_dedup._word_units([["uno", "due", "tre", "quattro", "cinque"], ["w0", "w1", "w2", "w3", "w4"]]), 2)
+    held = often[(grams & np.uint64(line_dedup.COUNTERS - 1)).astype(np.int64)]
+    assert held[:4].all() and not held[4:].any()
