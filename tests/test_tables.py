@@ -163,3 +163,12 @@ def test_feather_files_and_batches_are_small(spark, tmp_path):
     assert len(sizes) >= 3 and max(sizes) < 32 << 20
     assert feather.read_feather(spark, str(tmp_path / "f")).agg(F.sum("id"), F.sum(F.length("s"))).first()[:] == (1770, 60 << 20)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+
+
+def test_counts_are_written_by_rows(spark, tmp_path, monkeypatch):
+    """One kind of embedding, whose rows compress well, is not one task's."""
+    monkeypatch.setattr(tables, "COUNT_ROWS", 100)
+    counts = spark.range(1000).select(F.lit("tfidf").alias("embedding"), F.col("id").alias("article_id"), F.lit(1).alias("dim"), F.lit(2).cast("bigint").alias("n"))
+    tables.write_counts(counts, str(tmp_path / "c"))
+    assert len(list((tmp_path / "c" / "embedding=tfidf").glob("*.parquet"))) >= 5
+    assert tables.read_counts(spark, str(tmp_path / "c"), "bigint").select(counts.columns).exceptAll(counts).isEmpty()
