@@ -238,7 +238,6 @@ def write_feather(df: DataFrame, path: str, mode: str = "errorifexists") -> None
         from pyspark import TaskContext
 
         files, folder = fs.FileSystem.from_uri(temporary)
-        files.create_dir(folder, recursive=True)
         task, made, size, sink, writer = TaskContext.get(), [], 0, None, None
         for batch in batches:
             if writer is None:
@@ -258,6 +257,7 @@ def write_feather(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
     path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     folder = path_of(f"{root.toString()}/_temporary-{job}")
+    system.mkdirs(folder)
     try:
         # one name per file that a successful attempt has finished
         made = [r.name for r in df.mapInArrow(write, "name string").collect()]
@@ -271,7 +271,11 @@ def write_feather(df: DataFrame, path: str, mode: str = "errorifexists") -> None
             if not system.rename(path_of(folder, name), final):
                 raise OSError(f"{name} could not be renamed")
     finally:
-        system.delete(folder, True)
+        # tasks of a failed job may still write, but no longer once the folder is gone
+        for _ in range(5):
+            system.delete(folder, True)
+            if not system.exists(folder):
+                break
 
 
 # executors need not have this package installed
