@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import DATA
+from corpusloom import staging
 from corpusloom.llm import components, decontaminate, line_dedup, simhash, suffix_dedup
 from corpusloom.llm.queries import QUERIES
 from llm_texts import frame, odd_rows, prose  # noqa: F401
@@ -466,3 +468,44 @@ def test_grams_of_all_texts_are_counted(spark):
     grams, _ = line_dedup._grams(*line_dedup._word_units([["uno", "due", "tre", "quattro", "cinque"], ["w0", "w1", "w2", "w3", "w4"]]), 2)
     held = often[(grams & np.uint64(line_dedup.COUNTERS - 1)).astype(np.int64)]
     assert held[:4].all() and not held[4:].any()
+
+
+def test_lines_are_read_and_compared_at_once_as_one_by_one():
+    texts = ["İstanbul ΣΑΣ Σ. a_b\n\nß Ǆ ⓐ ² ½", " \t\n", "", "A B\x85c\x0bd\r\n", "\n\na", "x" * 100 + " y " + "é" * 40, "abcdefgh abcdefghijklm"]
+    row, number, held, units, sizes = line_dedup.lines_in(texts)
+    want = [(k, n, line_dedup.normal(x)) for k, text in enumerate(texts) for n, x in enumerate(text.split("\n")) if line_dedup.normal(x)]
+    assert list(zip(row.tolist(), number.tolist(), [x.decode().split(" ") for x in held], strict=True)) == want
+    hashes, counts = line_dedup._word_units([x[2] for x in want])
+    assert units.tolist() == hashes.tolist() and sizes.tolist() == counts.tolist()
+    assert all(len(x) == 0 for x in line_dedup.lines_in([]))
+    rng = random.Random(8)
+    for _ in range(400):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 25))]
+        b = list(a)
+        for _ in range(rng.randint(0, 7)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = [rng.choice("abcdefgh")] * rng.randint(0, 1)
+        distance = slow_distance(a, b)
+        assert line_dedup.similar(a, b) == (distance <= int(0.2 * max(len(a), len(b)) + 1e-9))
+        assert [line_dedup._few_edits(a, b, most) for most in range(8)] == [distance <= most for most in range(8)]
+
+
+def test_lines_that_meet_under_several_keys_are_one_group(spark):
+    """Two near copies meet under several keys, and are fetched for one comparison, not for one under each key."""
+    line = prose(5, 60).split(" ")
+    rows = [(k, " ".join([*line[:30], f"x{k}", *line[30:]])) for k in range(2)]
+    lines = line_dedup.lines_of(spark.createDataFrame(rows, "doc_id long, text string"), np.zeros(line_dedup.COUNTERS, dtype=bool))
+    first, second = (set(r["keys"]) for r in lines.collect())
+    met = line_dedup._key_meetings(lines).collect()
+    assert len(first & second) > 1
+    assert len(met) == 2 and len({r.code for r in met}) == 2 and len({r.name for r in met}) == 1
+
+
+def test_line_dedup_leaves_one_staged_table(spark):
+    folder = Path(staging.stage_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("line*")) | set(folder.glob("distinct-lines*"))
+    text = prose(7, 12)
+    gone = line_dedup.repeated_lines(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"))
+    left = (set(folder.glob("line*")) | set(folder.glob("distinct-lines*"))) - before
+    assert [x.name.rsplit("-", 1)[0] for x in left] == ["lines-gone"]
+    assert [(r.doc_id, r.lines) for r in gone.collect()] == [(2, [0])]
