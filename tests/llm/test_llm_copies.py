@@ -509,3 +509,60 @@ def test_line_dedup_leaves_one_staged_table(spark):
     left = (set(folder.glob("line*")) | set(folder.glob("distinct-lines*"))) - before
     assert [x.name.rsplit("-", 1)[0] for x in left] == ["lines-gone"]
     assert [(r.doc_id, r.lines) for r in gone.collect()] == [(2, [0])]
+
+
+def test_no_similar_line_is_lost(frame):
+    """Lines with as many edits as similarity allows, evenly spread, so that most of their grams are gone."""
+    rng = random.Random(21)
+    rows, words = [], [f"{a}{b}{c}" for a in "abcdefgh" for b in "klmnop" for c in "rstuvwxy"]
+    for k in range(300):
+        n = 5 * rng.randint(2, 8)
+        line = rng.choices(words, k=n)
+        other = list(line)
+        for at in range(2, n, 5):
+            other[at] = f"q{k}x{at}"
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(other))]
+    rows += [(1000 + k, f"{w}{w[::-1]}{v}") for k in range(40) for w, v in [(f"w{k}ab", "z"), (f"w{k}ab", "y")]]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(rows)).collect() if r.doc_id < 1000}
+    assert all(got[2 * k] and got[2 * k + 1] == "" for k in range(300))
+
+
+def test_grams_that_a_line_is_filed_under_survive_all_edits_but_one():
+    """Among the grams of a line more than its edits do not overlap, and rarer ones come first."""
+    rng = random.Random(2)
+    lines = [prose(k, 4 + k % 60) for k in range(200)]
+    _, _, held, units, sizes = line_dedup.lines_in(lines)
+    seen = np.array([rng.choice((0, 0, 1, 5)) for _ in range(line_dedup.COUNTERS)], dtype=np.uint8)
+    keys, owner = line_dedup.meeting_keys(held, units, sizes, seen, 1)
+    grams, line = line_dedup._grams(units, sizes, 2)
+    often = seen[(grams & np.uint64(line_dedup.COUNTERS - 1)).astype(np.int64)]
+    for k in range(200):
+        mine = set(keys[(owner == k) & (keys & np.uint64(1) == 0)].tolist())
+        own = ((((grams >> np.uint64(6)) | (often.astype(np.uint64) << np.uint64(58))) << np.uint64(1))[line == k]).tolist()
+        at = [n for n, x in enumerate(own) if x in mine]
+        apart, last = 0, -2
+        for n in at:
+            if n > last + 1:
+                apart, last = apart + 1, n
+        assert apart > sizes[k] // 4
+        assert sorted(set(own))[: len(mine)] == sorted(mine)
+
+
+def test_many_pairs_are_compared_as_one_by_one(monkeypatch):
+    rng = random.Random(12)
+    lines = []
+    for k in range(150):
+        base = prose(k, rng.choice((5, 9, 20, 40, 120))).split(" ")
+        for _ in range(4):
+            line = list(base)
+            for _ in range(rng.randint(0, len(base) // 4)):
+                at = rng.randrange(len(line))
+                line[at : at + rng.randint(0, 1)] = [rng.choice(("qq", "ka"))] * rng.randint(0, 1)
+            lines.append(line or ["ka"])
+    _, _, _, units, sizes = line_dedup.lines_in([" ".join(x) for x in lines])
+    a, b = (np.array(x) for x in zip(*[(p, q) for k in range(0, 600, 4) for p in range(k, k + 4) for q in range(max(k - 2, 0), p)], strict=True))
+    want = [line_dedup.similar(lines[p], lines[q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
+    assert 100 < sum(want) < len(want) - 100
+    for words in (line_dedup.TABLE_WORDS, 30):
+        monkeypatch.setattr(line_dedup, "TABLE_WORDS", words)
+        assert line_dedup._within(units, np.cumsum(sizes), sizes, a, b).tolist() == want
