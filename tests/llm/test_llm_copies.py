@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from conftest import DATA
+from conftest import DATA, plan
 from corpusloom import staging
 from corpusloom.llm import components, decontaminate, line_dedup, simhash, suffix_dedup
 from corpusloom.llm.queries import QUERIES
@@ -566,3 +566,14 @@ def test_many_pairs_are_compared_as_one_by_one(monkeypatch):
     for words in (line_dedup.TABLE_WORDS, 30):
         monkeypatch.setattr(line_dedup, "TABLE_WORDS", words)
         assert line_dedup._within(units, np.cumsum(sizes), sizes, a, b).tolist() == want
+
+
+def test_nothing_that_grows_is_broadcast(spark, frame):
+    """However small the files look: an exploded table is sized as what it was exploded from."""
+    docs = frame([(k, prose(k // 2, 30)) for k in range(40)])
+    links = spark.createDataFrame([(3, 1), (2, 1)], "a long, b long")
+    nodes = simhash.fingerprints(docs).select("fp").distinct()
+    tables = [simhash.fingerprint_links(nodes), simhash.near_duplicates(docs), simhash.keep_first(docs)]
+    tables += [components._large_star(links), components._small_star(links), line_dedup.dedup_lines(docs)]
+    for table in tables:
+        assert "SortMergeJoin" in plan(table) and "Broadcast" not in plan(table)
