@@ -1,6 +1,7 @@
 """Encoding, pooling, clustering, neighbours and pictures."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -268,3 +269,27 @@ def test_encoder_is_made_of_digests_in_small_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     dense.encode_texts(spark.createDataFrame([(1, "x")], "id int, text string"), dense.hash_encoder(2))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+
+
+@pytest.mark.parametrize("metric", ["jaccard", "cosine"])
+def test_term_products_hold_a_bounded_number_of_meetings(monkeypatch, metric):
+    """Articles that share most of their terms: every pair of entries at once would be a hundred times as much."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 300, 250)) for _ in range(400)]
+    sizes = np.array([len(x) for x in rows])
+    codes = np.concatenate(rows)
+    terms = spaces.Terms(np.concatenate([[0], np.cumsum(sizes)]), codes, np.ones(len(codes)) if metric == "jaccard" else rng.random(len(codes)))
+    space = spaces.TermSpace(metric)
+    dense = np.zeros((400, 300))
+    dense[terms.rows, terms.codes] = terms.weights
+    both = dense @ dense.T
+    want = 1 - (both / (sizes[:, None] + sizes - both) if metric == "jaccard" else both)
+    for share in (0.01, 2.0):
+        monkeypatch.setattr(spaces, "DENSE_SHARE", share, raising=False)
+        monkeypatch.setattr(spaces, "MEETINGS", 1 << 16, raising=False)
+        tracemalloc.start()
+        found = space.distances(terms, terms)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.allclose(found, np.maximum(want, 0), atol=2e-9)
+        assert most < 40e6
